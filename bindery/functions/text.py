@@ -93,7 +93,7 @@ def core_span(full: str | Column, core: str | Column) -> Column:
     for end in SPAN_TERMINALS:
         tries.append(F.concat(core, F.lit(end)))
         tries.append(F.when(lacks_c, F.concat(F.lit("C"), core, F.lit(end))))
-    found = F.filter(F.array(*tries), lambda t: F.instr(full, t) > 0)[0]
+    found = F.get(F.filter(F.array(*tries), lambda t: F.instr(full, t) > 0), 0)
     start = F.instr(full, found) - 1
     return F.when(
         found.isNotNull(),

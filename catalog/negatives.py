@@ -33,7 +33,7 @@ def drawn_sql(by: str = "", source: str = "positives", cap: bool = True) -> str:
     )
     return f"""
     numbered AS (SELECT *, row_number() OVER (PARTITION BY {by} peptide
-                   ORDER BY md5(concat_ws('|', '42', {by + ' ' if by else ''}{ALL})), {by} {ALL}) AS i,
+                   ORDER BY md5(concat_ws('|', '42', {ALL}{', ' + split_col if by else ''})), {ALL}) AS i,
                  CASE WHEN count(*) OVER (PARTITION BY {by} peptide) >= 10 THEN 'test' ELSE 'left-out' END AS grp
                  FROM {source}),
     bound AS (SELECT DISTINCT {by} grp, {RECEPTOR}, peptide FROM numbered),
