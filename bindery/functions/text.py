@@ -128,18 +128,21 @@ def residue_mask(seq: str | Column, max_len: int) -> Column:
 
 def deletions(seq: Column, depth: int) -> Column:
     """All distinct texts left after removing up to ``depth`` characters."""
-    level = F.array(seq)
-    levels = [level]
-    for _ in range(depth):
-        level = F.array_distinct(F.flatten(F.transform(level, _drop_one)))
-        levels.append(level)
-    return F.array_distinct(F.concat(*levels))
+    return _shorter_levels(F.array(seq), F.array(seq), depth)
+
+
+def _shorter_levels(level: Column, found: Column, depth: int) -> Column:
+    if depth == 0:
+        return F.array_distinct(found)
+    below = F.array_distinct(F.flatten(F.transform(level, _drop_one)))
+    # Bound as a lambda variable, so that the level is worked out once and used twice.
+    step = F.transform(F.array(below), lambda b: _shorter_levels(b, F.concat(found, b), depth - 1))
+    return F.get(step, 0)
 
 
 def _drop_one(text: Column) -> Column:
     """Every text with one character removed; nothing is left to remove from ``''``."""
-    shorter = lambda i: F.concat(
-        F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)
-    )
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.transform(places, shorter)
+    return F.transform(
+        places, lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))
+    )
