@@ -44,10 +44,9 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def one_hot_sequence(seq: str | Column, max_len: int) -> Column:
     """A sequence as ``max_len`` blocks of 22 numbers, one of them 1 (padding included)."""
-    blocks = F.array(*[
-        F.array(*[F.lit(1.0 if i == x else 0.0).cast("float") for i in range(SYMBOLS)])
-        for x in range(SYMBOLS)
-    ])
+    # Written as one literal: 484 separate column objects would take seconds to build.
+    rows = (", ".join("1F" if i == x else "0F" for i in range(SYMBOLS)) for x in range(SYMBOLS))
+    blocks = F.expr(f"array({', '.join(f'array({row})' for row in rows)})")
     return F.flatten(F.transform(residue_ids(seq, max_len), lambda x: F.get(blocks, x)))
 
 
