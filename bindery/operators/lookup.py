@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,11 +21,17 @@ def first_occurrence(store: DataFrame, key: Sequence[str], order: str) -> DataFr
 
 
 def hot_keys(df: DataFrame, key: Sequence[str], share: int = HOT_SHARE) -> list[tuple]:
-    """Keys that hold more than 1/share of all rows: fewer than ``share`` of them exist."""
-    counts = df.groupBy(*key).agg(F.count("*").alias("_n"))
-    total = df.count()
-    rows = counts.filter(F.col("_n") * share > total).select(*key).collect()
-    return [tuple(r) for r in rows]
+    """Keys that hold more than 1/share of all rows: fewer than ``share`` of them exist.
+
+    One pass: the rows are counted while they are grouped, and at most ``share`` keys,
+    the largest, come to the driver.
+    """
+    seen = Observation()
+    counts = df.select(*key).observe(seen, F.count(F.lit(1)).alias("total"))
+    counts = counts.groupBy(*key).agg(F.count("*").alias("_n"))
+    top = counts.orderBy(F.desc("_n")).limit(share).collect()
+    total = seen.get["total"]
+    return [tuple(r)[:-1] for r in top if r["_n"] * share > total]
 
 
 def spread_join(
@@ -33,23 +39,24 @@ def spread_join(
     right: DataFrame,
     key: Sequence[str],
     how: str = "inner",
-    share: int = HOT_SHARE,
+    hot: Sequence[tuple] | None = None,
     salts: int = HOT_SHARE,
 ) -> DataFrame:
     """Equi join (inner or left) that splits the rows of hot keys of the left side.
 
     Rows of a hot key get one of ``salts`` random-looking numbers and the matching right
-    rows are repeated for each number; all other rows join as usual.
+    rows are repeated for each number; all other rows join as usual. ``hot`` is looked
+    up in the left rows unless it is given.
     """
-    hot = hot_keys(left, key, share)
+    hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, list(key), how)
     same = lambda values: reduce(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(key, values)]
     )
     is_hot = reduce(lambda a, b: a | b, [same(v) for v in hot])
-    spot = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(is_hot, spot).otherwise(F.lit(0)))
+    spot = F.pmod(F.xxhash64(*[c for c in left.columns if not c.endswith("_vec")]), F.lit(salts))
+    salted = left.withColumn("_salt", F.when(is_hot, spot.cast("int")).otherwise(F.lit(0)))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_salt", F.explode(copies))
     return salted.join(repeated, [*key, "_salt"], how).drop("_salt")
@@ -74,8 +81,11 @@ def with_vectors(
     if not drop_missing:
         for store, column in ((receptors, "cdr3"), (peptides, "peptide")):
             _raise_missing(pairs, store, column)
+    # Hot keys are looked up in the pairs, not in the joined rows with their vectors.
+    hot = hot_keys(pairs, ["peptide"])
     joined = spread_join(pairs, receptors.select("cdr3", F.col("vec").alias("receptor_vec")), ["cdr3"])
-    return spread_join(joined, peptides.select("peptide", F.col("vec").alias("peptide_vec")), ["peptide"])
+    vectors = peptides.select("peptide", F.col("vec").alias("peptide_vec"))
+    return spread_join(joined, vectors, ["peptide"], hot=hot)
 
 
 def missing_keys(pairs: DataFrame, store: DataFrame, column: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.operators.order import running_totals, with_value_cell
+from bindery.operators.order import running_totals, value_cuts, with_value_cell
 
 TRAIN_EPS = 1e-8
 CALIBRATION_EPS = 1e-12
@@ -37,7 +37,8 @@ def score_curve(
     ties = slim.groupBy(*by, "score").agg(
         F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")
     )
-    celled = with_value_cell(ties, "score", "_up").withColumn("_cell", -F.col("_up"))
+    cuts = value_cuts(slim, "score")
+    celled = with_value_cell(ties, "score", "_up", cuts).withColumn("_cell", -F.col("_up"))
     curve = running_totals(
         celled, by, "_cell", [F.desc("score")],
         {"tp": F.col("pos"), "fp": F.col("neg")}, {"tp": "n_pos", "fp": "n_neg"},
@@ -164,6 +165,10 @@ def metrics_at(
         count(y & yes).alias("tp"), count(~y & yes).alias("fp"),
         count(y & ~yes).alias("fn"), count(~y & ~yes).alias("tn"),
     )
+    return _from_confusion(counts, by)
+
+
+def _from_confusion(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     f1 = _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     return counts.select(
@@ -193,13 +198,19 @@ def threshold_report(
     curve = score_curve(whole, ["rule"], label, score)
     cuts = {r["rule"]: r["threshold"] for r in best_f1_threshold(curve, ["rule"], eps).collect()}
     cuts = {"default_0.5": 0.5, **cuts}
-    entries = [
-        F.struct(F.lit(name).alias("rule"), F.lit(float(cut)).alias("threshold"))
+    # One pass over the test rows: four counts per rule as plain aggregates.
+    y, at = F.col(label) == 1, F.col(score)
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    cells = [
+        F.struct(
+            F.lit(name).alias("rule"), F.lit(float(cut)).alias("threshold"),
+            count(y & (at >= cut)).alias("tp"), count(~y & (at >= cut)).alias("fp"),
+            count(y & (at < cut)).alias("fn"), count(~y & (at < cut)).alias("tn"),
+        )
         for name, cut in cuts.items()
     ]
-    spread = test.select(F.col(label), F.col(score), F.explode(F.array(*entries)).alias("_r"))
-    spread = spread.select("_r.*", label, score)
-    return metrics_at(spread, F.col("threshold"), ["rule", "threshold"], label, score)
+    counts = test.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    return _from_confusion(counts, ["rule", "threshold"])
 
 
 def quantiles(df: DataFrame, score: str, points: Sequence[float]) -> DataFrame:
@@ -209,7 +220,7 @@ def quantiles(df: DataFrame, score: str, points: Sequence[float]) -> DataFrame:
     """
     values = df.select(F.col(score).cast("double").alias("score")).dropna()
     ties = values.groupBy("score").agg(F.count("*").alias("n"))
-    celled = with_value_cell(ties, "score", "_cell")
+    celled = with_value_cell(ties, "score", "_cell", value_cuts(values, "score"))
     run = running_totals(celled, [], "_cell", ["score"], {"upto": F.col("n")}, {"upto": "total"})
     aggs = [(F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean")]
     for i, q in enumerate(points):

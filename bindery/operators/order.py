@@ -17,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ONE_GROUP = "_one"
+MAX_CELLS = 4096
 
 
 def hash_text(seed: object, *cols: str | Column) -> Column:
@@ -110,31 +110,39 @@ def take_hashed(
     return passed.select(*df.columns).unionByName(cut.select(*df.columns))
 
 
-def with_value_cell(df: DataFrame, value: str, cell: str, cells: int | None = None) -> DataFrame:
-    """Add an integer ``cell`` that rises with a numeric column, with even row counts.
+def value_cuts(df: DataFrame, value: str | Column, cells: int | None = None) -> list[float]:
+    """Numbers that cut the rows into about even parts by a numeric value.
 
-    The cut points are approximate quantiles of the whole column, found by one pass and
-    kept as plan constants (at most ``cells`` numbers), so every later read of the plan
-    uses the same cut points. They only decide balance, never results. As each cell
-    holds an even share of the whole table, so it does of any one group.
+    Approximate quantiles from one pass without a shuffle of rows: at most ``cells``
+    numbers come back, to be used as plan constants. Every later read of the plan then
+    cuts at the same places. They decide balance only, never results.
     """
     if cells is None:
-        cells = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(max(2, cells), MAX_CELLS)
     steps = [i / cells for i in range(1, cells)]
-    number = F.col(value).cast("double")
+    number = (F.col(value) if isinstance(value, str) else value).cast("double")
     row = df.agg(F.percentile_approx(number, steps, 10 * cells).alias("cuts")).first()
-    cuts = sorted({c for c in (row["cuts"] or []) if c == c})
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
+    return sorted({c for c in (row["cuts"] or []) if c == c})
+
+
+def with_value_cell(df: DataFrame, value: str, cell: str, cuts: Sequence[float]) -> DataFrame:
+    """Add an integer ``cell`` that rises with a numeric column.
+
+    Cells hold even shares of the whole table, so no group has more than one share of
+    it in a cell.
+    """
+    if not cuts:
         return df.withColumn(cell, F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_value", outputCol="_cut", handleInvalid="keep")
-    marked = cut.transform(df.withColumn("_value", number))
+    marked = cut.transform(df.withColumn("_value", F.col(value).cast("double")))
     return marked.withColumn(cell, F.col("_cut").cast("int")).drop("_value", "_cut")
 
 
 def ordered_rank(df: DataFrame, key: str, rank: str = "rank", size: str | None = None) -> DataFrame:
     """Rank rows 1..n by a numeric key over the whole table."""
-    celled = with_value_cell(df, key, "_cell")
+    celled = with_value_cell(df, key, "_cell", value_cuts(df, key))
     ranked = running_totals(
         celled, [], "_cell", [key], {rank: F.lit(1)}, {rank: size} if size else None
     )

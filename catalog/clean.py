@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from bindery.functions.text import mhc_class, preclean_gene, strip, strip_gaps
 from bindery.operators import clean as cl
 from bindery.operators import stitch as st
-from catalog.views import view, with_views
+from bindery.staging import staged
+from catalog.views import stored, view, with_views
 
 # Names of the raw export columns by the plain names used in the views.
 _VDJDB = {
@@ -32,49 +33,52 @@ _MCPAS = {
 }
 
 
-def raw(spark, folder, name, names):
-    return view(spark, folder, name).select(*[F.col(a).alias(b) for a, b in names.items()])
+def raw(spark, folder, name, names, positives=None):
+    return view(spark, folder, name, positives).select(*[F.col(a).alias(b) for a, b in names.items()])
 
 
-def vdjdb(spark, folder):
-    return raw(spark, folder, "raw_vdjdb", _VDJDB)
+def vdjdb(spark, folder, positives=None):
+    return raw(spark, folder, "raw_vdjdb", _VDJDB, positives)
 
 
-def iedb(spark, folder):
-    return raw(spark, folder, "raw_iedb", _IEDB)
+def iedb(spark, folder, positives=None):
+    return raw(spark, folder, "raw_iedb", _IEDB, positives)
 
 
-def tcell(spark, folder):
-    return raw(spark, folder, "tcell", _TCELL)
+def tcell(spark, folder, positives=None):
+    return raw(spark, folder, "tcell", _TCELL, positives)
 
 
-def mcpas(spark, folder):
-    return raw(spark, folder, "raw_mcpas", _MCPAS)
+def mcpas(spark, folder, positives=None):
+    return raw(spark, folder, "raw_mcpas", _MCPAS, positives)
 
 
-def genes(spark, folder):
-    return view(spark, folder, "gene_ref")
+def genes(spark, folder, positives=None):
+    """The gene table, written first: it is joined twice per source."""
+    return staged(view(spark, folder, "gene_ref", positives), "genes")
 
 
-def marked(spark, folder):
-    ref = genes(spark, folder)
-    return {
-        "VDJdb": cl.mark_vdjdb(vdjdb(spark, folder), ref),
-        "IEDB": cl.mark_iedb(iedb(spark, folder), tcell(spark, folder), ref),
-        "McPAS": cl.mark_mcpas(mcpas(spark, folder), ref),
+def marked(spark, folder, *only):
+    base = stored(spark, folder, "positives")
+    ref = genes(spark, folder, base)
+    make = {
+        "VDJdb": lambda: cl.mark_vdjdb(vdjdb(spark, folder, base), ref),
+        "IEDB": lambda: cl.mark_iedb(iedb(spark, folder, base), tcell(spark, folder, base), ref),
+        "McPAS": lambda: cl.mark_mcpas(mcpas(spark, folder, base), ref),
     }
+    return {name: make[name]() for name in only or make}
 
 
 def q_clean_vdjdb(spark, folder):
-    return cl.clean_rows(marked(spark, folder)["VDJdb"], "VDJdb")
+    return cl.clean_rows(marked(spark, folder, "VDJdb")["VDJdb"], "VDJdb")
 
 
 def q_clean_iedb(spark, folder):
-    return cl.clean_rows(marked(spark, folder)["IEDB"], "IEDB")
+    return cl.clean_rows(marked(spark, folder, "IEDB")["IEDB"], "IEDB")
 
 
 def q_clean_mcpas(spark, folder):
-    return cl.clean_rows(marked(spark, folder)["McPAS"], "McPAS")
+    return cl.clean_rows(marked(spark, folder, "McPAS")["McPAS"], "McPAS")
 
 
 def q_clean_pairs(spark, folder):
@@ -87,7 +91,7 @@ def q_clean_funnel(spark, folder):
 
 def q_pooled_summary(spark, folder):
     parts = [cl.clean_rows(m, s) for s, m in marked(spark, folder).items()]
-    each = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    each = staged(parts[0].unionByName(parts[1]).unionByName(parts[2]), "cleaned")
     return cl.pooled_summary(each, each.dropDuplicates())
 
 

@@ -11,7 +11,7 @@ from bindery.operators import features as ft
 from bindery.operators import lookup as lk
 from bindery.operators import split as sp
 from catalog.negatives import ALL
-from catalog.views import table, view, with_views
+from catalog.views import stored, table, view, with_views
 
 _AA = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -67,7 +67,7 @@ def q_decode_onehot(spark, folder):
 
 
 def split_pairs(spark, folder):
-    return sp.holdout(pairs(spark, folder), "cdr3")
+    return sp.holdout(stored(spark, folder, "positives"), "cdr3")
 
 
 def q_vocab_fit(spark, folder):
@@ -207,7 +207,7 @@ def q_first_occurrence(spark, folder):
 
 def q_embedding_lookup(spark, folder):
     store = lk.first_occurrence(receptor_store(spark, folder), ["cdr3"], "v_gene")
-    found = lk.with_vectors(pairs(spark, folder).select("cdr3", "peptide", "source"), store, peptide_store(spark, folder), drop_missing=True)
+    found = lk.with_vectors(stored(spark, folder, "positives").select("cdr3", "peptide", "source"), store, peptide_store(spark, folder), drop_missing=True)
     out = lk.feature_table(found)
     return out.select("cdr3", "peptide", "source", F.array_join(F.transform("features", lambda x: (x * 2).cast("int").cast("string")), ",").alias("features"))
 

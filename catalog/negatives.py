@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from bindery.operators import negatives as neg
 from bindery.operators import split as sp
-from catalog.views import view, with_views
+from bindery.operators.clean import normalise_paired
+from bindery.staging import staged
+from catalog.views import stored, view, with_views
 
 ALL = "cdr3, tcr_chain, v_gene, j_gene, peptide, mhc_a, mhc_b, mhc_class, source"
 RECEPTOR = "cdr3, v_gene, j_gene"
@@ -72,7 +72,7 @@ def q_peptide_distance(spark, folder):
 
 
 def q_donor_pool(spark, folder):
-    pairs = view(spark, folder, "positives")
+    pairs = stored(spark, folder, "positives")
     numbered = neg.number_pairs(pairs, [], 42, neg.MIN_PAIRS)
     donors = neg.number_donors(numbered, [], neg.RECEPTOR_KEY, 42)
     out = neg.left_out_donors(numbered, donors, [], neg.RECEPTOR_KEY, ["cdr3"], neg.FAR_DISTANCE)
@@ -81,46 +81,44 @@ def q_donor_pool(spark, folder):
 
 
 def q_negatives(spark, folder):
-    return neg.negatives(view(spark, folder, "positives"))
+    return neg.negatives(stored(spark, folder, "positives"))
 
 
 def q_negatives_uncapped(spark, folder):
-    return neg.negatives(view(spark, folder, "positives"), max_ratio=None)
+    return neg.negatives(stored(spark, folder, "positives"), max_ratio=None)
 
 
 def q_labelled_pairs(spark, folder):
-    pairs = view(spark, folder, "positives")
+    pairs = stored(spark, folder, "positives")
     return neg.labelled(pairs, neg.negatives(pairs))
 
 
 def q_ratio_report(spark, folder):
-    pairs = view(spark, folder, "positives")
+    pairs = stored(spark, folder, "positives")
     return neg.ratio_report(pairs, neg.negatives(pairs))
 
 
 def q_overall_ratio(spark, folder):
-    pairs = view(spark, folder, "positives")
+    pairs = stored(spark, folder, "positives")
     return neg.overall_ratio(neg.ratio_counts(pairs, neg.negatives(pairs)))
 
 
 def q_labelled_splits(spark, folder):
-    pairs = sp.holdout(view(spark, folder, "positives"), "peptide", seed=42)
+    pairs = sp.holdout(stored(spark, folder, "positives"), "peptide", seed=42)
     return neg.labelled(pairs, neg.negatives(pairs, by=["split"]))
 
 
 def q_paired_negatives(spark, folder):
-    from bindery.operators.clean import normalise_paired
-
-    pairs = normalise_paired(view(spark, folder, "paired"))
+    pairs = staged(normalise_paired(view(spark, folder, "paired")), "paired")
     return neg.paired_negatives(pairs)
 
 
 def q_random_swap_negatives(spark, folder):
-    return neg.random_swaps(view(spark, folder, "positives"))
+    return neg.random_swaps(stored(spark, folder, "positives"))
 
 
 def q_shuffled_pairs(spark, folder):
-    return neg.shuffled_pairs(view(spark, folder, "positives"))
+    return neg.shuffled_pairs(stored(spark, folder, "positives"))
 
 
 SPLIT_SQL = """

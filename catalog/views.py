@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bindery.staging import staged
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -169,12 +171,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame."""
-    sources = {}
+def view(
+    spark: SparkSession, folder: str, name: str, positives: DataFrame | None = None
+) -> DataFrame:
+    """A derived view as a DataFrame; ``positives`` stands in for that view when given."""
+    if name == "positives" and positives is not None:
+        return positives
     text = VIEWS[name]
-    for other in _NEEDS.get(name, []):
-        sources[other] = view(spark, folder, other)
+    sources = {other: view(spark, folder, other, positives) for other in _NEEDS.get(name, [])}
     for base in TABLES:
         if re.search(rf"\b(FROM|JOIN)\s+{base}\b", text):
             sources[base] = table(spark, folder, base)
@@ -183,6 +187,11 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A derived view written once, for queries that read it several times."""
+    return staged(view(spark, folder, name), name)
+
+
 def with_views(sql: str, *names: str) -> str:
     """``sql`` with the named views, and those they need, as leading WITH terms."""
     wanted: list[str] = []
