@@ -90,7 +90,7 @@ def truncated(residues: str | Column, max_len: int) -> Column:
 
 def kept_length(residues: str | Column, max_len: int) -> Column:
     """Number of residue vectors kept, 0 when there are none."""
-    return F.coalesce(F.least(F.size(_col(residues)), F.lit(max_len)), F.lit(0))
+    return F.least(F.coalesce(F.size(_col(residues)), F.lit(0)), F.lit(max_len))
 
 
 def _pooled(residues: str | Column, one: Callable[[Column, Column], Column]) -> Column:

@@ -419,7 +419,7 @@ ORACLE = {
           UNION ALL SELECT vec_id, 'max', {_pool('part', 'list_max')} FROM cut
           UNION ALL SELECT vec_id, 'all', {_pool('r', 'list_avg')} FROM cut)
         {_spread('p', 'v', 'vec_id, mode')}""",
-    "residue_slices": f"""WITH {_RES}, k AS (SELECT vec_id, coalesce(least(len(part), 2), 0) AS length,
+    "residue_slices": f"""WITH {_RES}, k AS (SELECT vec_id, least(coalesce(len(part), 0), 2) AS length,
             coalesce(flatten(part[1:2]), []) AS v FROM cut)
         SELECT vec_id, length, len(v) AS n_numbers, round(coalesce(list_sum(list_transform(v, lambda x: x::DOUBLE)), 0), 6) AS total FROM k""",
     "paired_concat": f"""WITH {_RES}, k AS (SELECT vec_id, coalesce(len(part), 0) AS alpha_len,
