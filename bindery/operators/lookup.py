@@ -30,6 +30,8 @@ def hot_keys(df: DataFrame, key: Sequence[str], share: int = HOT_SHARE) -> list[
     counts = df.select(*key).observe(seen, F.count(F.lit(1)).alias("total"))
     counts = counts.groupBy(*key).agg(F.count("*").alias("_n"))
     top = counts.orderBy(F.desc("_n")).limit(share).collect()
+    if not top:
+        return []
     total = seen.get["total"]
     return [tuple(r)[:-1] for r in top if r["_n"] * share > total]
 

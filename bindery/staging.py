@@ -15,14 +15,13 @@ def shared_folder(spark: SparkSession) -> str:
     cluster a machine-local folder would be lost with its machine, so that is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="bindery-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="bindery-"))
+    return sc.getCheckpointDir()
 
 
 def staged(df: DataFrame, label: str = "table") -> DataFrame:
