@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,17 +23,15 @@ def first_occurrence(store: DataFrame, key: Sequence[str], order: str) -> DataFr
 def hot_keys(df: DataFrame, key: Sequence[str], share: int = HOT_SHARE) -> list[tuple]:
     """Keys that hold more than 1/share of all rows: fewer than ``share`` of them exist.
 
-    One pass: the rows are counted while they are grouped, and at most ``share`` keys,
-    the largest, come to the driver.
+    One query whose two branches share the counts: at most ``share`` keys, the largest,
+    and the number of all rows come to the driver.
     """
-    seen = Observation()
-    counts = df.select(*key).observe(seen, F.count(F.lit(1)).alias("total"))
-    counts = counts.groupBy(*key).agg(F.count("*").alias("_n"))
-    top = counts.orderBy(F.desc("_n")).limit(share).collect()
-    if not top:
-        return []
-    total = seen.get["total"]
-    return [tuple(r)[:-1] for r in top if r["_n"] * share > total]
+    counts = df.groupBy(*key).agg(F.count("*").alias("_n"))
+    top = counts.orderBy(F.desc("_n")).limit(share).withColumn("_all", F.lit(False))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")).withColumn("_all", F.lit(True))
+    rows = top.unionByName(total, allowMissingColumns=True).collect()
+    n = next(r["_n"] for r in rows if r["_all"])
+    return [tuple(r[c] for c in key) for r in rows if not r["_all"] and r["_n"] * share > n]
 
 
 def spread_join(
