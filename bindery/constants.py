@@ -27,6 +27,10 @@ FULL_SEQUENCE_COLUMNS = [
 
 # --- fixed values: cleaning ------------------------------------------------------
 WILDCARD_PATTERN = r"[X*?]"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 CLASS_ONE_PATTERN = r"HLA CLASS I|HLA-[ABCEXFG]\b|B2M|HLA-E|HLA-C|HLA-A|HLA-B"
 CLASS_ONE_PATTERN_STRICT = r"HLA CLASS I\b|HLA-[ABCEXFG]\b|B2M|HLA-E|HLA-C|HLA-A|HLA-B"
 CLASS_TWO_PATTERN = r"HLA CLASS II|HLA-DP|HLA-DQ|HLA-DR"

@@ -14,6 +14,7 @@ from bindery.constants import (
     PAD_SYMBOL,
     RESIDUES,
     SPAN_TERMINALS,
+    WHITE_SPACE,
     WILDCARD_PATTERN,
 )
 
@@ -24,7 +25,7 @@ def _col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Text without leading and trailing white space of any kind; null becomes ``''``."""
-    return F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit(WHITE_SPACE))
 
 
 def choose_nonempty(first: str | Column, second: str | Column) -> Column:
@@ -46,9 +47,7 @@ def has_wildcard(*cols: str | Column) -> Column:
 def preclean_gene(c: str | Column) -> Column:
     """Repair a gene symbol: ``:01`` becomes ``*01``; ambiguous calls keep the first gene."""
     starred = F.regexp_replace(_col(c), r":(\d)", r"*$1")
-    return F.regexp_replace(
-        F.regexp_replace(starred, r"(?i)/.*|\s+or\s+.*", ""), r"^\s+|\s+$", ""
-    )
+    return F.btrim(F.regexp_replace(starred, r"(?i)/.*|\s+or\s+.*", ""), F.lit(WHITE_SPACE))
 
 
 def mhc_class(alleles: str | Column, strict_class_names: bool = False) -> Column:

@@ -24,8 +24,9 @@ def one(spark):
 
 
 def test_strip_takes_all_white_space(one):
-    got = one([" a ", "\tb\n", None, "", "c d"], tx.strip("x"))
-    assert [g[0] for g in got] == ["a", "b", "", "", "c d"]
+    values = [" a ", "\tb\n", None, "", "c d", "\xa0e\u2003"]
+    got = one(values, tx.strip("x"))
+    assert [g[0] for g in got] == [(v or "").strip() for v in values]
 
 
 def test_mhc_class(one):
