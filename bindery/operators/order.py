@@ -72,7 +72,7 @@ def hashed_rank(
     seed: object,
     rank: str = "rank",
     size: str | None = None,
-    digits: int = 2,
+    digits: int = 3,
 ) -> DataFrame:
     """Rank rows 1..n in seeded random order within ``by``; ``size`` adds n.
 
@@ -162,7 +162,7 @@ def nth_unlisted(
     size: str,
     want: str,
     position: str,
-    cells: int = 256,
+    cells: int = MAX_CELLS,
 ) -> DataFrame:
     """For each draw, the position of the ``want``-th entry that is not listed.
 
