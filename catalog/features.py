@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from bindery.functions import text as tx
@@ -94,6 +95,14 @@ def q_onehot_paired(spark, folder):
     return out.select("cdr3a", "cdr3b", "peptide", "va", "ja", "vb", "jb", "hla", vx.text_of(place).alias("ones"))
 
 
+def q_sparse_features(spark, folder):
+    rows = pairs(spark, folder)
+    cats = ft.Categories.fit(rows.filter(F.col("v_gene") != "TRBV3*01"))
+    out = ft.sparse_pair_features(rows, cats).withColumn("dense", vector_to_array("features", "float32"))
+    place = F.filter(F.transform("dense", lambda x, i: F.when(x == 1, i).otherwise(-1)), lambda i: i >= 0)
+    return out.select(*ALL.split(", "), vx.text_of(place).alias("ones"), F.size("dense").alias("dim"))
+
+
 def q_category_vectors(spark, folder):
     rows = pairs(spark, folder)
     vocab = ft.fit_vocabulary(rows.filter(F.col("v_gene") != "TRBV3*01"), ["v_gene", "j_gene"])
@@ -289,6 +298,7 @@ QUERIES = {
     "vocab_fit_paired": q_vocab_fit_paired,
     "onehot_categories": q_onehot_categories,
     "onehot_paired": q_onehot_paired,
+    "sparse_features": q_sparse_features,
     "category_vectors": q_category_vectors,
     "unfold_vector": q_unfold_vector,
     "pooled_vectors": q_pooled_vectors,
@@ -392,6 +402,16 @@ ORACLE = {
             LEFT JOIN vocab j ON j.col = 'j_gene' AND j.value = j_gene""",
         "positives",
     ),
+    "sparse_features": with_views(
+        f"""WITH few AS (SELECT * FROM positives WHERE v_gene <> 'TRBV3*01'), {_VOCAB.format(src='few')}
+            SELECT p.*, concat_ws(',', {_ones('cdr3', 30)},
+                     array_to_string(list_transform({_ids('peptide', 15)}, lambda x, k: 660 + (k - 1) * 22 + x), ','),
+                     CASE WHEN mhc_class = 'MHCII' THEN '990' END, v.idx + 991, j.idx + 991 + {_SIZE.format(c='v_gene')}) AS ones,
+                   991 + (SELECT count(*) FROM vocab) AS dim
+            FROM positives p LEFT JOIN vocab v ON v.col = 'v_gene' AND v.value = v_gene
+            LEFT JOIN vocab j ON j.col = 'j_gene' AND j.value = j_gene""",
+        "positives",
+    ),
     "onehot_paired": with_views(
         f"""WITH few AS (SELECT * FROM paired WHERE va <> 'TRAV3*01'), {_PAIRED_VOCAB.format(cells=_cells('few'))},
              z AS (SELECT col, count(*) AS n FROM pv GROUP BY col),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from bindery.constants import RESIDUES
 from bindery.functions.text import residue_ids
 from bindery.sources import files as fl
 from bindery.staging import shared_folder
-from catalog.clean import mcpas, vdjdb
+from catalog.clean import _IEDB, iedb, mcpas, vdjdb
 from catalog.views import table, view, with_views
 
 
@@ -25,6 +26,25 @@ def q_read_vdjdb(spark, folder):
     return back.toDF(*[c.replace(".", "_") for c in back.columns])
 
 
+def q_read_two_row_header(spark, folder):
+    """The export as text files that each begin with the two header rows."""
+    rows = iedb(spark, folder)
+    upper, lower = zip(*[c.split("|") for c in rows.columns])
+    head = [",".join(upper), ",".join(lower)]
+
+    def with_head(frames):
+        yield pd.DataFrame({"line": head})
+        yield from frames
+
+    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    cells = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)])
+    lines = rows.select(F.to_csv(cells, keep).alias("line"))
+    path = scratch(spark, "iedb.csv")
+    lines.mapInPandas(with_head, "line string").write.text(path)
+    back = fl.read_two_row_header(spark, path, multi_line=False)
+    return back.toDF(*_IEDB)
+
+
 def q_read_mcpas(spark, folder):
     path = scratch(spark, "mcpas.csv")
     rows = mcpas(spark, folder).withColumn("Species", F.when(F.col("Species") == "Mouse", "NA").otherwise(F.col("Species")))
@@ -71,6 +91,7 @@ def q_read_paired_test(spark, folder):
 
 QUERIES = {
     "read_vdjdb": q_read_vdjdb,
+    "read_two_row_header": q_read_two_row_header,
     "read_mcpas": q_read_mcpas,
     "tsv_to_csv": q_tsv_to_csv,
     "vector_store": q_vector_store,
@@ -83,6 +104,9 @@ ORACLE = {
                    score AS vdjdb_score FROM raw_vdjdb""",
         "raw_vdjdb",
     ),
+    "read_two_row_header": with_views(
+        f"SELECT {', '.join(f'CASE WHEN {c} <> {chr(39)*2} THEN {c} END AS {c}' for c in _IEDB)} FROM raw_iedb", "raw_iedb"
+    ),
     "read_mcpas": with_views(
         """SELECT cdr3_beta AS cdr3_beta_aa, trbv, trbj, epitope_peptide, mhc, CASE WHEN species <> 'Mouse' THEN species END AS species
            FROM raw_mcpas""",
