@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.operators.order import hash_text, hashed_rank
+from bindery.operators.order import hash_text, hashed_rank, running_totals, take_hashed
 
 
 @dataclass(frozen=True)
@@ -60,11 +60,30 @@ def holdout(
 def random_split(
     df: DataFrame, test_frac: float = 0.2, val_frac: float = 0.1, seed: int = 42
 ) -> DataFrame:
-    """Add ``split`` by row: the test part is rounded up, then val from what remains."""
+    """Add ``split`` by row: the test part is rounded up, then val from what remains.
+
+    The hashes alone are ranked to find the two cuts; rows are then assigned by comparing
+    their hash, so the table itself is not shuffled. Only when a cut falls between copies
+    of one row are the rows ranked, to keep the sizes exact.
+    """
     rescaled = val_frac / (1.0 - test_frac)
-    ranked = hashed_rank(df, [], df.columns, seed, "_r", "_n")
     n_test = F.ceil(F.col("_n") * F.lit(float(test_frac)))
     n_val = F.ceil((F.col("_n") - n_test) * F.lit(rescaled))
+    hashes = df.select(hash_text(seed, *df.columns).alias("_h"))
+    hashes = hashes.withColumn("_cell", F.substring("_h", 1, 3))
+    ranked = running_totals(hashes, [], "_cell", ["_h"], {"_r": F.lit(1)}, {"_r": "_n"})
+    ends = ranked.select("_h", "_r", n_test.alias("t"), (n_test + n_val).alias("v"))
+    ends = ends.filter(F.col("_r").isin(F.col("t"), F.col("t") + 1, F.col("v"), F.col("v") + 1))
+    rows = ends.collect()
+    at = {r["_r"]: r["_h"] for r in rows}
+    cuts = [(rows[0][c], at.get(rows[0][c])) for c in ("t", "v")] if rows else []
+    if all(h is not None and at.get(r + 1) != h for r, h in cuts):
+        spot = hash_text(seed, *df.columns)
+        split = F.lit("train")
+        for name, (_, h) in reversed(list(zip(("test", "val"), cuts))):
+            split = F.when(spot <= h, name).otherwise(split)
+        return df.withColumn("split", split)
+    ranked = hashed_rank(df, [], df.columns, seed, "_r", "_n")
     split = (
         F.when(F.col("_r") <= n_test, "test")
         .when(F.col("_r") <= n_test + n_val, "val")
@@ -149,8 +168,6 @@ def stratified_sample(
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """A seeded sample of ``n`` rows; all rows when there are no more than that."""
-    from bindery.operators.order import take_hashed
-
     return take_hashed(df, n, key, seed)
 
 

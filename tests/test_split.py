@@ -44,6 +44,16 @@ def test_random_split(pairs):
     assert counts == {"test": 80, "val": 40, "train": 280}
 
 
+def test_random_split_moves_no_rows_unless_copies_straddle_a_cut(pairs):
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(sp.random_split(pairs))
+    copies = pairs.select(F.lit("a").alias("cdr3"), F.lit("p").alias("peptide"))
+    done = sp.random_split(copies)
+    assert "Exchange" in plan(done)
+    assert {r["split"]: r["count"] for r in done.groupBy("split").count().collect()} == {"test": 80, "val": 40, "train": 280}
+    assert sp.random_split(pairs.filter("n < 0")).count() == 0
+
+
 def test_stratified_val(pairs, spark):
     rows = sp.stratified_val(pairs, 0.1).groupBy("peptide").agg(
         F.count("*").alias("n"), F.sum((F.col("split") == "val").cast("int")).alias("v")
