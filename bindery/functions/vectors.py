@@ -88,9 +88,15 @@ def truncated(residues: str | Column, max_len: int) -> Column:
     return F.slice(_col(residues), 1, max_len)
 
 
+def length_of(residues: str | Column) -> Column:
+    """Number of residue vectors, 0 for null (whatever the session's rule for ``size``)."""
+    residues = _col(residues)
+    return F.when(residues.isNotNull(), F.size(residues)).otherwise(F.lit(0))
+
+
 def kept_length(residues: str | Column, max_len: int) -> Column:
     """Number of residue vectors kept, 0 when there are none."""
-    return F.least(F.coalesce(F.size(_col(residues)), F.lit(0)), F.lit(max_len))
+    return F.least(length_of(residues), F.lit(max_len))
 
 
 def _pooled(residues: str | Column, one: Callable[[Column, Column], Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindery.functions.text import mhc_class, preclean_gene, strip, strip_gaps
+from bindery.functions.text import mhc_class, preclean_gene, strip
 from bindery.operators import clean as cl
 from bindery.operators import stitch as st
 from bindery.staging import staged

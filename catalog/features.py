@@ -140,7 +140,7 @@ def q_paired_concat(spark, folder):
     beta = vx.truncated("residues", 6)
     out = rows.select(
         "vec_id", vx.paired_residues(alpha, beta, 7).alias("both"),
-        F.coalesce(F.size(alpha), F.lit(0)).alias("alpha_len"), F.size(beta).alias("beta_len"),
+        vx.length_of(alpha).alias("alpha_len"), F.size(beta).alias("beta_len"),
     )
     return exploded(out.select("vec_id", "alpha_len", F.flatten("both").alias("v")), ["vec_id", "alpha_len"], "v")
 
@@ -150,7 +150,7 @@ def q_beta_slice(spark, folder):
     alpha, beta = vx.span("residues", "start", "end"), vx.truncated("residues", 6)
     out = rows.select(
         "vec_id", vx.paired_residues(alpha, beta, 40).alias("both"),
-        F.coalesce(F.size(alpha), F.lit(0)).alias("alpha_len"), F.size(beta).alias("beta_len"),
+        vx.length_of(alpha).alias("alpha_len"), F.size(beta).alias("beta_len"),
     )
     back = out.select("vec_id", F.flatten(vx.beta_slice("both", "alpha_len", "beta_len", 5)).alias("v"))
     return exploded(back, ["vec_id"], "v")
