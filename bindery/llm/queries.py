@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import chat, sharding
+from bindery.llm import bpe, chat, pii, sharding, token_counts
 from bindery.llm.shared import table
 
 
@@ -42,6 +42,29 @@ FROM written GROUP BY conv_id
 """
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_pii(table(spark, folder, "documents"))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return bpe.round_trip_digest(table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and where a limit of 4,096 tokens cuts it."""
+    return token_counts.count_documents(
+        table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096
+    )
+
+
 def op8_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in shards of at most 1 MiB of text."""
     shards = sharding.extendible_shards(table(spark, folder, "documents"), limit=1 << 20)
@@ -70,6 +93,9 @@ FROM shards s JOIN rows r ON left(r.path, s.depth) = s.shard
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op4_pii": op4_pii,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op9_token_counts": op9_token_counts,
     "op8_extendible_shards": op8_extendible_shards,
 }
 ORACLE = {

@@ -6,9 +6,15 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import bindery.llm
+
+# Functions of this package travel to the executors with the job, which need not have it.
+cloudpickle.register_pickle_by_value(bindery.llm)
+
 #: Rows in one Arrow batch are also bounded by bytes, so that very long texts do not pile up.
 BATCH_BYTES = 16 << 20
 
