@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import bpe, chat, pii, sharding, token_counts
+from bindery.llm import bpe, chat, pii, sharding, token_counts, toxicity
 from bindery.llm.shared import table
 
 
+def _held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels outside of the held-out quarter."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~_held_out())
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id",
+        _held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, and conversation -7, formatted and read back."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -92,6 +110,7 @@ FROM shards s JOIN rows r ON left(r.path, s.depth) = s.shard
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
     "op4_pii": op4_pii,
     "op5_bpe_round_trip": op5_bpe_round_trip,
