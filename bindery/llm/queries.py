@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import bpe, chat, pii, sharding, token_counts, toxicity
+from bindery.llm import bpe, chat, near_dup, pii, sharding, token_counts, toxicity
 from bindery.llm.shared import table
 
 
@@ -83,6 +83,11 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near copies among all documents: 3-word shingles, similarity 0.85."""
+    return near_dup.near_components(table(spark, folder, "documents"), width=3, num=85, den=100)
+
+
 def op8_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in shards of at most 1 MiB of text."""
     shards = sharding.extendible_shards(table(spark, folder, "documents"), limit=1 << 20)
@@ -114,6 +119,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op4_pii": op4_pii,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op8_extendible_shards": op8_extendible_shards,
 }
