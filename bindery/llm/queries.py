@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import bpe, chat, near_dup, pii, sharding, token_counts, toxicity
+from bindery.llm import bpe, chat, decontaminate, near_dup, pii, sharding, token_counts, toxicity
 from bindery.llm.shared import table
 
 
@@ -114,6 +114,33 @@ SELECT r.doc_id, r.n_bytes, s.shard, s.depth, s.bytes AS shard_bytes, s.n AS sha
 FROM shards s JOIN rows r ON left(r.path, s.depth) = s.shard
 """
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in documents: 0.8 of an item's 5-word shingles."""
+    return decontaminate.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+OP10_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), item_words AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL
+), items AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM item_words, unnest(range(1, len(w) - 3)) t(i)
+), sizes AS (
+  SELECT item_id, count(*)::INTEGER AS n_item FROM items GROUP BY item_id
+), docs AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM doc_words, unnest(range(1, len(w) - 3)) t(i)
+), shared AS (
+  SELECT doc_id, item_id, count(*)::INTEGER AS n_shared FROM docs JOIN items USING (s) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shared, n_item FROM shared JOIN sizes USING (item_id)
+WHERE 100 * n_shared >= 80 * n_item
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -122,8 +149,10 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op8_extendible_shards": op8_extendible_shards,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE = {
+    "op10_decontamination": OP10_SQL,
     "op2_chat_format": OP2_SQL,
     "op8_extendible_shards": OP8_SQL,
 }
