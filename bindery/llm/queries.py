@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import bpe, chat, decontaminate, near_dup, pii, sharding, token_counts, toxicity
+from bindery.llm import bpe, chat, decontaminate, fingerprints, near_dup, pii, sharding, token_counts, toxicity, training_order
 from bindery.llm.shared import table
+from bindery.staging import shared_folder
 
 
 def _held_out() -> Column:
@@ -60,6 +63,11 @@ FROM written GROUP BY conv_id
 """
 
 
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint, beside those of its edited text and the next document."""
+    return fingerprints.edit_fingerprints(table(spark, folder, "documents"))
+
+
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     return pii.find_pii(table(spark, folder, "documents"))
@@ -88,6 +96,18 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_components(table(spark, folder, "documents"), width=3, num=85, den=100)
 
 
+def op7_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's sequences in training order, read back from their shards."""
+    path = f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    training_order.write_shards(
+        table(spark, folder, "documents"), path, _tokenizer("piece_bpe_32k.model"), key=20_240_601
+    )
+    return training_order.read_sequences(spark, path).select(
+        "doc_id", "sequence", "slot", "shard", "byte_offset", "n_tokens",
+        F.sha2("record", 256).alias("record_sha256"),
+    )
+
+
 def op8_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in shards of at most 1 MiB of text."""
     shards = sharding.extendible_shards(table(spark, folder, "documents"), limit=1 << 20)
@@ -144,10 +164,12 @@ WHERE 100 * n_shared >= 80 * n_item
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
+    "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_token_counts": op9_token_counts,
+    "op7_training_order": op7_training_order,
     "op8_extendible_shards": op8_extendible_shards,
     "op10_decontamination": op10_decontamination,
 }
