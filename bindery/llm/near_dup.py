@@ -267,3 +267,10 @@ def near_components(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def drop_near_copies(df: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``df`` whose ``doc_id`` is kept by ``near_components``: of each component the
+    least document, and with it rows that repeat its id."""
+    kept = near_components(df, width, num, den).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return df.join(kept, df["doc_id"].eqNullSafe(kept["__id"]), "left_semi")

@@ -303,3 +303,27 @@ def score_documents(
         documents(df, id_col, text_col), make,
         "doc_id bigint, score double, passages array<struct<start: int, end: int, evidence: double>>",
     )
+
+
+def drop_toxic(df: DataFrame, model: ToxicityModel, at: float = 0.5) -> DataFrame:
+    """Documents (rows with the columns of documents) that score below ``at``; a null text
+    stays. Cases as in ``score_documents``."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+
+    def make():
+        scores = WordScores(model)
+
+        def kept(text: str | None) -> bool:
+            x = list(map(scores.of, (text or "").split()))
+            found = evidence_of(maximal_segments(x), len(x), model)
+            return not found or model.probability(sum(v for _, _, v in found)) < at
+
+        def step(batch):
+            return [row for row in zip(*batch, strict=True) if kept(row[1])]
+
+        return step
+
+    return per_text(
+        df.select(*columns), make,
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )

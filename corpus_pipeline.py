@@ -1,6 +1,66 @@
-"""Cleaning a corpus end to end: five stages, each a table to a table."""
+"""Cleaning a corpus end to end: five stages, each a table of documents to the next.
+
+Toxic documents go, one document of each group of near copies stays, documents that hold a
+benchmark item go, personal data is masked, and what is left is encoded.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from bindery.llm import bpe, decontaminate, near_dup, pii, toxicity
+from bindery.llm.shared import table
+from bindery.staging import staged
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 under a model learnt from the labelled ones among them."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each component: five-word shingles, similarity 0.8."""
+    return near_dup.drop_near_copies(docs, width=5, num=80, den=100)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with less than 0.8 of the five-word shingles of every benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with personal data replaced by its kind."""
+    return pii.mask_pii(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of every document."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("pii", mask_personal_data),
+    ("bpe", encode),
+]
+
+#: The model of the first stage and the ids of the last are not expressible in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents in ``sf_dir``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {}
