@@ -25,6 +25,7 @@ from bindery.operators.metrics import (
     probe_report,
     score_curve,
 )
+from bindery.operators.order import take_hashed
 from bindery.operators.split import stratified_folds
 from bindery.staging import staged
 
@@ -43,7 +44,7 @@ def with_balanced_weight(df: DataFrame, label: str = "label", out: str = "weight
 
 
 def fit_forest(
-    train: DataFrame, trees: int = 500, depth: int = 20, seed: int = 42,
+    train: DataFrame, trees: int = 500, depth: int = 30, seed: int = 42,
     label: str = "label", features: str = "features",
 ) -> Model:
     """A random forest with balanced class weights. Spark limits trees to 30 levels."""
@@ -79,11 +80,27 @@ def cross_scored(
 
 
 def oversampled(df: DataFrame, label: str = "label") -> DataFrame:
-    """Positives repeated so that both classes weigh the same (rounded to whole rows)."""
-    weights = class_weights(df, label).first()
-    times = max(1, round(weights["pos_weight"] or 1))
-    copies = F.when(F.col(label) == 1, F.sequence(F.lit(1), F.lit(times))).otherwise(F.array(F.lit(1)))
-    return df.withColumn("_copy", F.explode(copies)).drop("_copy")
+    """The smaller class repeated so that both weigh the same.
+
+    Every row of it comes ``floor(ratio)`` times, and once more where its hash falls below
+    the ratio's remainder.
+    """
+    n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
+    if not n_pos or not n_neg or n_pos == n_neg:
+        return df
+    ratio = max(n_pos, n_neg) / min(n_pos, n_neg)
+    whole = int(ratio)
+    more = F.pmod(F.xxhash64(*[c for c in df.columns if c != label]), F.lit(1_000_000)) < int(
+        (ratio - whole) * 1_000_000
+    )
+    times = F.when(F.col(label) == F.lit(int(n_pos < n_neg)), F.lit(whole) + more.cast("int")).otherwise(1)
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
+
+
+def bounded_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """At most ``n`` rows, by seeded order: a bound on what a model is fitted on."""
+    return take_hashed(df, n, key, seed)
 
 
 def fit_perceptron(

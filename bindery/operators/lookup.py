@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bindery.staging import staged
+
 HOT_SHARE = 64
 
 
@@ -20,12 +22,15 @@ def first_occurrence(store: DataFrame, key: Sequence[str], order: str) -> DataFr
     return kept.select(*key, *[f"_first.{c}" for c in rest])
 
 
-def hot_keys(df: DataFrame, key: Sequence[str], share: int = HOT_SHARE) -> list[tuple]:
+def hot_keys(df: DataFrame, key: Sequence[str], share: int | None = None) -> list[tuple]:
     """Keys that hold more than 1/share of all rows: fewer than ``share`` of them exist.
 
-    One query whose two branches share the counts: at most ``share`` keys, the largest,
-    and the number of all rows come to the driver.
+    A quarter of a shuffle partition's even part is the limit unless ``share`` is given. One
+    query whose two branches share the counts: at most ``share`` keys, the largest, and the
+    number of all rows come to the driver.
     """
+    if share is None:
+        share = max(HOT_SHARE, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.groupBy(*key).agg(F.count("*").alias("_n"))
     top = counts.orderBy(F.desc("_n")).limit(share).withColumn("_all", F.lit(False))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")).withColumn("_all", F.lit(True))
@@ -41,25 +46,41 @@ def spread_join(
     how: str = "inner",
     hot: Sequence[tuple] | None = None,
     salts: int = HOT_SHARE,
+    row: str | None = None,
 ) -> DataFrame:
     """Equi join (inner or left) that splits the rows of hot keys of the left side.
 
-    Rows of a hot key get one of ``salts`` random-looking numbers and the matching right
+    Rows of a hot key get one of ``salts`` numbers by their position and the matching right
     rows are repeated for each number; all other rows join as usual. ``hot`` is looked
-    up in the left rows unless it is given.
+    up in the left rows unless it is given. ``row`` names a column that numbers the rows, as
+    ``numbered_rows`` adds it; without one the left side is written with its numbers if there
+    are hot keys, so that a task that runs again finds the same ones.
     """
     hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, list(key), how)
-    same = lambda values: reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(key, values)]
-    )
-    is_hot = reduce(lambda a, b: a | b, [same(v) for v in hot])
-    spot = F.pmod(F.xxhash64(*[c for c in left.columns if not c.endswith("_vec")]), F.lit(salts))
-    salted = left.withColumn("_salt", F.when(is_hot, spot.cast("int")).otherwise(F.lit(0)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(copies))
-    return salted.join(repeated, [*key, "_salt"], how).drop("_salt")
+    out = [*left.columns, *[c for c in right.columns if c not in key]]
+    if row is None:
+        row, left = "_row", numbered_rows(left)
+    keys = [f"_hot_{c}" for c in key]
+    types = ", ".join(f"`_hot_{c}` {left.schema[c].dataType.simpleString()}" for c in key)
+    listed = left.sparkSession.createDataFrame(list(hot), types).withColumn("_is_hot", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(key, keys)])
+
+    def marked(side: DataFrame) -> DataFrame:  # as many rows as hot_keys may return
+        return side.join(F.broadcast(listed), same, "left").drop(*keys)
+
+    spot = F.pmod(F.col(row), F.lit(salts)).cast("int")
+    salted = marked(left).withColumn("_salt", F.when(F.col("_is_hot"), spot).otherwise(F.lit(0)))
+    copies = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+    repeated = marked(right).withColumn("_salt", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
+    joined = salted.drop("_is_hot").join(repeated.drop("_is_hot"), [*key, "_salt"], how)
+    return joined.select(*out)
+
+
+def numbered_rows(df: DataFrame, row: str = "_row") -> DataFrame:
+    """``df`` written once with a number for each row."""
+    return staged(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def checked_dim(store: DataFrame, vector: str = "vec") -> int:
@@ -71,21 +92,37 @@ def checked_dim(store: DataFrame, vector: str = "vec") -> int:
 
 
 def with_vectors(
-    pairs: DataFrame, receptors: DataFrame, peptides: DataFrame, drop_missing: bool = False
+    pairs: DataFrame, receptors: DataFrame, peptides: DataFrame, drop_missing: bool = False,
+    order: str | None = None,
 ) -> DataFrame:
     """Add ``receptor_vec`` and ``peptide_vec`` by sequence.
 
-    ``receptors(cdr3, vec)`` and ``peptides(peptide, vec)`` have one row per sequence.
+    ``receptors(cdr3, vec)`` and ``peptides(peptide, vec)`` hold vectors by sequence; of
+    several for one sequence the first by ``order`` is taken, or the least without ``order``.
     A pair without a vector is an error that shows five examples, or is dropped.
     """
+    receptors, peptides = _one_vector(receptors, "cdr3", order), _one_vector(peptides, "peptide", order)
     if not drop_missing:
         for store, column in ((receptors, "cdr3"), (peptides, "peptide")):
             _raise_missing(pairs, store, column)
     # Hot keys are looked up in the pairs, not in the joined rows with their vectors.
-    hot = hot_keys(pairs, ["peptide"])
-    joined = spread_join(pairs, receptors.select("cdr3", F.col("vec").alias("receptor_vec")), ["cdr3"])
-    vectors = peptides.select("peptide", F.col("vec").alias("peptide_vec"))
-    return spread_join(joined, vectors, ["peptide"], hot=hot)
+    hot = {c: hot_keys(pairs, [c]) for c in ("cdr3", "peptide")}
+    columns = pairs.columns
+    row = "_row" if any(hot.values()) else None
+    joined = numbered_rows(pairs) if row else pairs
+    for store, column, name in ((receptors, "cdr3", "receptor_vec"), (peptides, "peptide", "peptide_vec")):
+        vectors = store.select(column, F.col("vec").alias(name))
+        joined = spread_join(joined, vectors, [column], hot=hot[column], row=row)
+    return joined.select(*columns, "receptor_vec", "peptide_vec")
+
+
+def _one_vector(store: DataFrame, column: str, order: str | None) -> DataFrame:
+    one = F.min_by("vec", order) if order else F.min("vec")
+    return store.groupBy(column).agg(one.alias("vec"))
+
+
+class MissingVectors(KeyError):
+    """Pairs whose sequences have no vector in a store."""
 
 
 def missing_keys(pairs: DataFrame, store: DataFrame, column: str) -> DataFrame:
@@ -99,7 +136,7 @@ def _raise_missing(pairs: DataFrame, store: DataFrame, column: str) -> None:
     total = lacking.agg(F.sum("n_rows")).first()[0]
     if total:
         shown = ", ".join(str(r[0]) for r in lacking.orderBy(column).limit(5).collect())
-        raise KeyError(f"{total} rows without a {column} vector. Examples: {shown}")
+        raise MissingVectors(f"{total} rows without a {column} vector. Examples: {shown}")
 
 
 def vector_coverage(pairs: DataFrame, receptors: DataFrame, peptides: DataFrame) -> DataFrame:

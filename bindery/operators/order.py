@@ -12,6 +12,7 @@ partitioning, after a task is retried, and in any other engine that has md5.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,12 @@ def hash_int(seed: object, *cols: str | Column) -> Column:
     return F.conv(F.substring(hash_text(seed, *cols), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_digits(df: DataFrame) -> int:
+    """Leading hash digits that cut a table into 16 cells or more per shuffle partition."""
+    wanted = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return next(d for d in range(3, 9) if 16**d >= wanted or d == 8)
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
@@ -42,7 +49,7 @@ def running_totals(
     """Add running sums over ``order`` within ``by``.
 
     ``cell`` must rise with ``order`` inside a group. ``totals`` maps a name in ``sums``
-    to a column that receives the group's grand total. Group columns must not be null.
+    to a column that receives the group's grand total. Null is a group of its own.
     """
     totals = totals or {}
     keys = [*by, cell]
@@ -51,13 +58,14 @@ def running_totals(
     whole = Window.partitionBy(*group)
     cells = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_in_{n}") for n, c in sums.items()])
     cells = cells.select(
-        *keys,
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
         *[F.coalesce(F.sum(f"_in_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums],
         *[F.sum(f"_in_{n}").over(whole).alias(out) for n, out in totals.items()],
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(c).over(inside).alias(f"_run_{n}") for n, c in sums.items()])
-    joined = local.join(cells, keys)
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    joined = local.join(cells, reduce(lambda a, b: a & b, same))
     return joined.select(
         *df.columns,
         *[(F.col(f"_run_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums],
@@ -72,13 +80,14 @@ def hashed_rank(
     seed: object,
     rank: str = "rank",
     size: str | None = None,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Rank rows 1..n in seeded random order within ``by``; ``size`` adds n.
 
     ``key`` should identify a row; rows with equal keys are interchangeable. A group is
-    cut into ``16**digits`` cells.
+    cut into ``16**digits`` cells, as many as ``hash_digits`` says unless given.
     """
+    digits = digits or hash_digits(df)
     hashed = df.withColumn("_hash", hash_text(seed, *key))
     hashed = hashed.withColumn("_cell", F.substring("_hash", 1, digits))
     ranked = running_totals(
@@ -88,20 +97,22 @@ def hashed_rank(
 
 
 def take_hashed(
-    df: DataFrame, n: int, key: Sequence[str], seed: object, digits: int = 3
+    df: DataFrame, n: int, key: Sequence[str], seed: object, digits: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows in seeded random order, exactly, without a global sort.
 
-    Cells are counted first (at most ``16**digits`` rows, hence the broadcast). A cell
-    that lies wholly inside the limit passes untouched and only the one cell that the
-    limit cuts is sorted.
+    Cells are counted first, in at most ``16**digits`` rows; a broadcast is asked for up to
+    ``MAX_CELLS`` of them. A cell that lies wholly inside the limit passes untouched and only
+    the one cell that the limit cuts is sorted.
     """
+    digits = digits or hash_digits(df)
     hashed = df.withColumn("_hash", hash_text(seed, *key))
     hashed = hashed.withColumn("_cell", F.substring("_hash", 1, digits))
     upto = Window.partitionBy(F.lit(0)).orderBy("_cell")
     cells = hashed.groupBy("_cell").agg(F.count("*").alias("_n"))
     cells = cells.select("_cell", "_n", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
-    placed = hashed.join(F.broadcast(cells.filter(F.col("_before") < n)), "_cell")
+    wanted = cells.filter(F.col("_before") < n)
+    placed = hashed.join(F.broadcast(wanted) if 16**digits <= MAX_CELLS else wanted, "_cell")
     passed = placed.filter(F.col("_before") + F.col("_n") <= n)
     inside = Window.partitionBy("_cell").orderBy("_hash", *key)
     cut = placed.filter(F.col("_before") + F.col("_n") > n)

@@ -9,6 +9,8 @@ from bindery.constants import FULL_SEQUENCE_COLUMNS
 from bindery.functions.text import core_span, cut_span
 from bindery.operators.clean import keep_existing
 
+DEFAULT_TERMINAL = "F"
+
 
 def stitch_full_sequence(
     pairs: DataFrame,
@@ -21,17 +23,25 @@ def stitch_full_sequence(
 
     ``v_ref(v_gene, body, leader, anchor)`` ends before the CDR3 and names the residues a
     CDR3 of that gene begins with; ``j_ref(j_gene, body, terminal)`` begins after the CDR3
-    and names the residue it ends with. A missing leading ``C`` is always put back. Then
-    the first attempt that fits is taken, in this order: as is; with the terminal added;
-    without the anchor check; with the terminal and without the check; and the same four
-    without the leader for genes that have none. A result with a stop (``*``) is void.
+    and names the residue it ends with, ``F`` where it names none. A J gene without an allele
+    is looked up as its first one. A missing leading ``C`` is always put back. Then the first
+    attempt that fits is taken, in this order: as is; with the terminal added; without the
+    anchor check; with the terminal and without the check; and the same four without the
+    leader for genes that have none. A result with a stop (``*``) is void.
     """
     base = F.when(F.col("cdr3").startswith("C"), F.col("cdr3")).otherwise(
         F.concat(F.lit("C"), F.col("cdr3"))
     )
     v = v_ref.select("v_gene", F.col("body").alias("_v"), F.col("leader").alias("_l"), F.col("anchor").alias("_a"))
-    j = j_ref.select("j_gene", F.col("body").alias("_j"), F.col("terminal").alias("_t"))
-    parts = pairs.join(v, "v_gene", "left").join(j, "j_gene", "left").withColumn("_core", base)
+    j = j_ref.select(
+        F.col("j_gene").alias("_j_gene"), F.col("body").alias("_j"),
+        F.coalesce("terminal", F.lit(DEFAULT_TERMINAL)).alias("_t"),
+    )
+    allele = F.when(F.col("j_gene").contains("*"), F.col("j_gene")).otherwise(
+        F.concat("j_gene", F.lit("*01"))
+    )
+    parts = pairs.join(v, "v_gene", "left").join(j, F.col("_j_gene") == allele, "left")
+    parts = parts.withColumn("_core", base)
 
     def attempt(add_terminal: bool, skip_anchor: bool, skip_leader: bool) -> Column:
         core = F.concat(F.col("_core"), F.col("_t")) if add_terminal else F.col("_core")

@@ -173,7 +173,7 @@ V_REF = """v_ref AS (
   FROM (SELECT DISTINCT v_gene FROM positives) v)"""
 J_REF = """j_ref AS (
   SELECT j_gene, CASE WHEN j_gene = 'TRBJ2-2*01' THEN 'GEG*S' ELSE 'G' || translate(substr(md5('j' || j_gene), 1, 6), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') END AS body,
-         CASE WHEN j_gene LIKE '%-4*01' THEN 'L' ELSE 'F' END AS terminal
+         CASE WHEN j_gene LIKE '%-4*01' THEN 'L' WHEN j_gene NOT LIKE '%-3*01' THEN 'F' END AS terminal
   FROM (SELECT DISTINCT j_gene FROM positives) j WHERE j_gene <> 'TRBJ1-7*01')"""
 _CORE = "CASE WHEN length(cdr3) % 3 = 0 THEN substr(cdr3, 2) ELSE cdr3 END"
 
@@ -335,7 +335,7 @@ _GAPLESS = "upper(trim(translate(coalesce({c}, ''), '-.', ''))) AS {c}"
 _STITCH = f"""
   WITH {V_REF}, {J_REF},
   cut AS (SELECT * REPLACE ({_CORE} AS cdr3) FROM positives),
-  parts AS (SELECT cut.*, v.body AS vb, v.leader, v.anchor, j.body AS jb, j.terminal,
+  parts AS (SELECT cut.*, v.body AS vb, v.leader, v.anchor, j.body AS jb, coalesce(j.terminal, 'F') AS terminal,
                    CASE WHEN cut.cdr3 LIKE 'C%' THEN cut.cdr3 ELSE 'C' || cut.cdr3 END AS base
             FROM cut LEFT JOIN v_ref v USING (v_gene) LEFT JOIN j_ref j USING (j_gene)),
   built AS (SELECT *, CASE WHEN vb IS NULL OR jb IS NULL THEN NULL ELSE coalesce(leader, '') || vb || base ||

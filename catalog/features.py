@@ -249,11 +249,12 @@ def q_dropped_rows(spark, folder):
 
 def q_one_to_one_labels(spark, folder):
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment")
-    solutions = table(spark, folder, "customer").filter(F.col("c_custkey") % 3 != 0).select(
+    solutions = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).cast("double").alias("label"),
         F.when(F.col("c_custkey") % 2 == 0, "Public").otherwise("Private").alias("usage"),
     )
-    return lk.with_labels(customers, solutions)
+    unmatched = solutions.withColumn("id", -F.col("id"))
+    return lk.with_labels(customers, solutions.unionByName(unmatched))
 
 
 def q_align_by_row(spark, folder):
@@ -507,7 +508,7 @@ ORACLE = {
         "positives",
     ),
     "one_to_one_labels": """SELECT c_custkey AS id, c_name, c_mktsegment, (c_acctbal > 0)::INT AS label,
-        CASE WHEN c_custkey % 2 = 0 THEN 'Public' ELSE 'Private' END AS usage FROM customer WHERE c_custkey % 3 <> 0""",
+        CASE WHEN c_custkey % 2 = 0 THEN 'Public' ELSE 'Private' END AS usage FROM customer""",
     "align_by_row": """SELECT vec_id AS row_id, label AS kind, c_name, c_mktsegment FROM embeddings JOIN customer ON c_custkey = vec_id""",
     "align_by_pair": with_views(
         """WITH s AS (SELECT cdr3, CASE WHEN source = 'IEDB' THEN peptide || 'X' ELSE peptide END AS peptide, source FROM positives),

@@ -85,7 +85,9 @@ def q_read_paired_test(spark, folder):
     left, right = scratch(spark, "test.csv"), scratch(spark, "solutions.csv")
     rows = table(spark, folder, "customer")
     fl.write_csv(rows.select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("Peptide"), F.col("c_mktsegment").alias("HLA")), left)
-    fl.write_csv(rows.filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("ID"), (F.col("c_acctbal") > 5000).cast("int").alias("Label"), F.lit("Public").alias("Usage")), right)
+    answers = rows.select(F.col("c_custkey").alias("ID"), (F.col("c_acctbal") > 5000).cast("int").alias("Label"), F.lit("Public").alias("Usage"))
+    unmatched = rows.select((-F.col("c_custkey")).alias("ID"), F.lit(1).alias("Label"), F.lit("Private").alias("Usage"))
+    fl.write_csv(answers.unionByName(unmatched), right)
     return fl.read_paired_test(spark, left, right)
 
 
@@ -125,5 +127,5 @@ ORACLE = {
         "paired",
     ),
     "read_paired_test": """SELECT c_custkey::VARCHAR AS id, upper(replace(replace(c_name, '-', ''), '.', '')) AS peptide, c_mktsegment AS hla,
-        (c_acctbal > 5000)::INT AS label, 'Public' AS usage FROM customer WHERE c_custkey % 4 <> 0""",
+        (c_acctbal > 5000)::INT AS label, 'Public' AS usage FROM customer""",
 }

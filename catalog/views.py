@@ -17,15 +17,17 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
-POSITIVES = """
-SELECT DISTINCT
+# One row per line item. Brand and size name a family of near peptides; the item's keys decide on
+# the member, so that the first members are common and the last ones rare.
+LINES = """
+SELECT
   'CASS' || translate(substr(md5('t' || cast(c.c_custkey AS string)), 1, cast(6 + c.c_custkey % 5 AS int)),
                       '0123456789abcdef', 'ACDEFGHIKLMNPQRS') || 'F'                  AS cdr3,
   'TRB'                                                                               AS tcr_chain,
   'TRBV' || cast(c.c_nationkey + 1 AS string) || '*01'                                AS v_gene,
   'TRBJ' || cast(1 + c.c_custkey % 2 AS string) || '-' ||
             cast(1 + c.c_custkey % 7 AS string) || '*01'                              AS j_gene,
-  substr(b.base, 1, cast(b.pos - 1 AS int)) || 'W' || substr(b.base, cast(b.pos + 1 AS int)) AS peptide,
+  substr(b.base, 1, cast(l.pos - 1 AS int)) || 'W' || substr(b.base, cast(l.pos + 1 AS int)) AS peptide,
   CASE c.c_mktsegment WHEN 'BUILDING'   THEN 'HLA-A*02:01'
                       WHEN 'MACHINERY'  THEN 'HLA-B*07:02'
                       WHEN 'AUTOMOBILE' THEN 'HLA-DRB1*04:01'
@@ -37,14 +39,23 @@ SELECT DISTINCT
                       WHEN 'AUTOMOBILE' THEN 'MHCII'
                       WHEN 'HOUSEHOLD'  THEN 'MHCII'
                       ELSE 'MHCI' END                                                 AS mhc_class,
-  CASE o.o_orderstatus WHEN 'O' THEN 'VDJdb' WHEN 'F' THEN 'IEDB' ELSE 'McPAS' END    AS source
-FROM lineitem l
+  CASE o.o_orderstatus WHEN 'O' THEN 'VDJdb' WHEN 'F' THEN 'IEDB' ELSE 'McPAS' END    AS source,
+  l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
+FROM (SELECT *, CASE WHEN k < 80 THEN 1 WHEN k < 130 THEN 2 WHEN k < 160 THEN 3
+                    WHEN k < 178 THEN 4 WHEN k < 188 THEN 5 WHEN k < 194 THEN 6
+                    WHEN k < 197 THEN 7 WHEN k < 199 THEN 8 ELSE 9 END AS pos
+      FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                   (l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 200 AS k FROM lineitem) n) l
 JOIN orders   o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey  = c.c_custkey
-JOIN (SELECT p_partkey, 1 + p_partkey % 9 AS pos,
-             translate(substr(md5('p' || p_brand), 1, 9), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') AS base
+JOIN (SELECT p_partkey,
+             translate(substr(md5('p' || p_brand || cast(p_size % 8 AS string)), 1, 9),
+                       '0123456789abcdef', 'ACDEFGHIKLMNPQRS') AS base
       FROM part) b ON l.l_partkey = b.p_partkey
-WHERE l.l_discount = 0.05 AND l.l_quantity > 5 * b.pos
+"""
+
+POSITIVES = """
+SELECT DISTINCT cdr3, tcr_chain, v_gene, j_gene, peptide, mhc_a, mhc_b, mhc_class, source FROM lines
 """
 
 # A second chain for every positive; gaps and lower case are put in on purpose.
@@ -74,25 +85,21 @@ FROM (
 # Raw exports: blanks around values, empty cells, wildcards and odd gene spellings.
 RAW_VDJDB = """
 SELECT gene, cdr3, v_segm, j_segm, species, mhc_a, mhc_b, mhc_class, antigen_epitope, score FROM (
-SELECT CASE WHEN l.l_linenumber % 5 = 0 THEN 'TRA' ELSE 'TRB' END AS gene,
-       CASE WHEN l.l_partkey % 17 = 0 THEN ''
-            WHEN l.l_partkey % 19 = 0 THEN p.cdr3 || '*'
+SELECT CASE WHEN p.l_linenumber % 5 = 0 THEN 'TRA' ELSE 'TRB' END AS gene,
+       CASE WHEN p.l_partkey % 17 = 0 THEN ''
+            WHEN p.l_partkey % 19 = 0 THEN p.cdr3 || '*'
             ELSE ' ' || p.cdr3 END AS cdr3,
-       CASE WHEN l.l_suppkey % 3 = 0 THEN replace(p.v_gene, '*', ':')
-            WHEN l.l_suppkey % 3 = 1 THEN p.v_gene || '/4'
+       CASE WHEN p.l_suppkey % 3 = 0 THEN replace(p.v_gene, '*', ':')
+            WHEN p.l_suppkey % 3 = 1 THEN p.v_gene || '/4'
             ELSE p.v_gene END AS v_segm,
-       CASE WHEN l.l_suppkey % 4 = 0 THEN p.j_gene || ' or TRBJ9-9' ELSE p.j_gene || '  ' END AS j_segm,
-       CASE WHEN l.l_linenumber % 7 = 3 THEN 'MusMusculus' ELSE 'HomoSapiens' END AS species,
+       CASE WHEN p.l_suppkey % 4 = 0 THEN p.j_gene || ' or TRBJ9-9' ELSE p.j_gene || '  ' END AS j_segm,
+       CASE WHEN p.l_linenumber % 7 = 3 THEN 'MusMusculus' ELSE 'HomoSapiens' END AS species,
        p.mhc_a AS mhc_a,
-       CASE WHEN l.l_partkey % 11 = 0 THEN NULL ELSE 'B2M' END AS mhc_b,
+       CASE WHEN p.l_partkey % 11 = 0 THEN NULL ELSE 'B2M' END AS mhc_b,
        p.mhc_class AS mhc_class,
-       CASE WHEN l.l_partkey % 23 = 0 THEN p.peptide || 'X' ELSE p.peptide END AS antigen_epitope,
-       cast(l.l_orderkey % 4 AS int) AS score
-FROM (SELECT DISTINCT cdr3, v_gene, j_gene, peptide, mhc_a, mhc_class FROM positives) p
-JOIN customer c ON p.cdr3 = 'CASS' || translate(substr(md5('t' || cast(c.c_custkey AS string)), 1, cast(6 + c.c_custkey % 5 AS int)),
-                      '0123456789abcdef', 'ACDEFGHIKLMNPQRS') || 'F'
-JOIN orders o ON o.o_custkey = c.c_custkey
-JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_discount = 0.05) t
+       CASE WHEN p.l_partkey % 23 = 0 THEN p.peptide || 'X' ELSE p.peptide END AS antigen_epitope,
+       cast(p.l_orderkey % 4 AS int) AS score
+FROM lines p) t
 """
 
 RAW_IEDB = """
@@ -152,6 +159,7 @@ FROM lineitem
 """
 
 VIEWS = {
+    "lines": LINES,
     "positives": POSITIVES,
     "paired": PAIRED,
     "raw_vdjdb": RAW_VDJDB,
@@ -162,8 +170,8 @@ VIEWS = {
     "scored": SCORED,
 }
 _NEEDS = {
-    "paired": ["positives"], "raw_vdjdb": ["positives"], "raw_iedb": ["positives"],
-    "tcell": ["positives"], "raw_mcpas": ["positives"], "gene_ref": ["positives"],
+    "positives": ["lines"], "raw_vdjdb": ["lines"],
+    **dict.fromkeys(["paired", "raw_iedb", "tcell", "raw_mcpas", "gene_ref"], ["positives"]),
 }
 
 
@@ -183,8 +191,8 @@ def view(
         if re.search(rf"\b(FROM|JOIN)\s+{base}\b", text):
             sources[base] = table(spark, folder, base)
     for key, df in sources.items():
-        df.createOrReplaceTempView(key)
-    return spark.sql(text)
+        text = re.sub(rf"\b(FROM|JOIN)\s+{key}\b", rf"\1 {{{key}}}", text)
+    return spark.sql(text, **sources)
 
 
 def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -192,11 +200,16 @@ def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return staged(view(spark, folder, name), name)
 
 
+def _with_needs(name: str) -> list[str]:
+    """The views that a view stands on, and itself, in order of definition."""
+    return [v for need in _NEEDS.get(name, []) for v in _with_needs(need)] + [name]
+
+
 def with_views(sql: str, *names: str) -> str:
     """``sql`` with the named views, and those they need, as leading WITH terms."""
     wanted: list[str] = []
     for name in names:
-        for part in [*_NEEDS.get(name, []), name]:
+        for part in _with_needs(name):
             if part not in wanted:
                 wanted.append(part)
     terms = [f"{n} AS ({VIEWS[n]})" for n in wanted]

@@ -139,3 +139,19 @@ def test_summary_exact_and_approximate(spark):
     exact = {r["quantity"]: r["value"] for r in rp.dataset_summary(df).collect()}
     assert exact["rows"] == 2 and exact["unique cdr3"] == 2 and exact["unique mhc_a"] == 1 and exact["rows from T"] == 1
     assert {r["quantity"]: r["value"] for r in rp.dataset_summary(df, approximate=True).collect()} == exact
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    rows = lk.numbered_rows(spark.createDataFrame([("HOT",)] * 5000, "cdr3 string"))
+    assert rows.select((rows["_row"] % lk.HOT_SHARE).alias("s")).distinct().count() == lk.HOT_SHARE
+    right = spark.createDataFrame([("HOT", 1), ("x", 2)], "cdr3 string, v int")
+    joined = lk.spread_join(rows.drop("_row"), right, ["cdr3"])
+    assert joined.columns == ["cdr3", "v"] and joined.count() == 5000
+
+
+def test_a_sequence_stored_twice_does_not_double_pairs(spark):
+    pairs = spark.createDataFrame([("C1", "P1")], "cdr3 string, peptide string")
+    receptors = spark.createDataFrame([("C1", [2.0], 2), ("C1", [1.0], 3), ("C1", [9.0], 1)], "cdr3 string, vec array<double>, at int")
+    peptides = spark.createDataFrame([("P1", [5.0], 1)], "peptide string, vec array<double>, at int")
+    assert [r["receptor_vec"] for r in lk.with_vectors(pairs, receptors, peptides).collect()] == [[1.0]]
+    assert [r["receptor_vec"] for r in lk.with_vectors(pairs, receptors, peptides, order="at").collect()] == [[9.0]]

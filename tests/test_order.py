@@ -93,3 +93,13 @@ def test_value_cells_are_monotone_and_even(spark):
     rows = [r["c"] for r in cut.orderBy("v").collect()]
     assert rows == sorted(rows)
     assert max(rows.count(c) for c in set(rows)) <= 150
+
+
+def test_a_null_group_keeps_its_rows(spark):
+    from bindery.operators.split import stratified_folds, stratified_val
+
+    rows = [("a", 1), ("a", 2), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "peptide string, n int")
+    assert sorted(r["n"] for r in stratified_val(df).collect()) == [1, 2, 3, 4]
+    folds = stratified_folds(df, "peptide", 2, ["n"]).collect()
+    assert sorted((str(r["peptide"]), r["fold"]) for r in folds) == [("None", 0), ("None", 1), ("a", 0), ("a", 1)]

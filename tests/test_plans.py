@@ -120,3 +120,20 @@ def test_oversampling(learnable):
     assert counts == {0: 160, 1: 160}
     weighted = ln.with_balanced_weight(learnable).groupBy("label").agg(F.sum("weight")).collect()
     assert {round(r[1], 6) for r in weighted} == {120.0}
+
+
+@pytest.mark.parametrize(("n_pos", "n_neg"), [(90, 10), (10, 90), (40, 60), (5, 5), (3, 0)])
+def test_both_classes_weigh_the_same(spark, n_pos, n_neg):
+    rows = [(i, int(i < n_pos)) for i in range(n_pos + n_neg)]
+    df = spark.createDataFrame(rows, "n int, label int")
+    counts = {r["label"]: r["count"] for r in ln.oversampled(df).groupBy("label").count().collect()}
+    more = max(n_pos, n_neg)
+    assert all(abs(c - more) <= 0.1 * more + 8 for c in counts.values())
+
+
+def test_errors_in_a_run_are_not_swallowed(spark, learnable):
+    def broken(pairs, experiment):
+        raise ValueError("inside the fit")
+
+    with pytest.raises(ValueError, match="inside the fit"):
+        ex.run_grid(learnable, [ex.Experiment("one")], broken)
