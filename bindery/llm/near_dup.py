@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from bindery.llm.components import connected_components
 from bindery.llm.shared import bounded_batches, documents, per_text
 from bindery.llm.shingles import WordHashes, minhash, permutations, shingle_hashes, space_words
+from bindery.operators.lookup import spread_join
 from bindery.staging import staged
 
 HASHES = 64
@@ -261,7 +262,9 @@ def near_components(
     every = alone.join(of_node, "node", "left").select(
         "node", F.coalesce("least", "own").alias("component_id")
     )
-    joined = rows.select("doc_id", "n", "node").join(every, "node", "left")
+    # copies of one text may be a third of all rows
+    numbered = rows.select("doc_id", "n", "node", F.coalesce("doc_id", F.lit(0)).alias("row"))
+    joined = spread_join(numbered, every, ["node"], "left", row="row")
     component = F.coalesce("component_id", "doc_id")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
