@@ -4,6 +4,8 @@
 PAIR_COLUMNS = [
     "cdr3", "tcr_chain", "v_gene", "j_gene", "peptide", "mhc_a", "mhc_b", "mhc_class",
 ]
+LABELLED_COLUMNS = [*PAIR_COLUMNS, "label"]
+SPLIT_COLUMN = "split"
 VDJDB_COLUMNS = [
     "gene", "cdr3", "v.segm", "j.segm", "species", "mhc.a", "mhc.b", "mhc.class",
     "antigen.epitope",
@@ -44,6 +46,22 @@ NULL_SPELLINGS = [
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# Cleaning steps by source, in the order in which they are reported.
+STEPS = {
+    "VDJdb": ["species", "chain", "required_fields", "wildcards", "confidence_filter", "gene_standardization"],
+    "IEDB": ["species", "chain", "confidence_filter", "required_fields", "wildcards", "gene_standardization"],
+    "McPAS": ["species", "required_fields", "wildcards", "gene_standardization"],
+}
+# Gene symbols: an allele behind a colon, and what follows the first of several genes.
+COLON_ALLELE_PATTERN = r":(\d)"
+LATER_GENES_PATTERN = r"(?i)/.*|\s+or\s+.*"
+# Files of an export that hold no table.
+SKIPPED_TABLES = ["LICENSE.txt", "latest-version.txt"]
+
+# --- fixed values: metrics -------------------------------------------------------
+TRAIN_EPS = 1e-8
+CALIBRATION_EPS = 1e-12
+
 # --- fixed values: sequences -----------------------------------------------------
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 PAD_SYMBOL = "-"
@@ -82,6 +100,21 @@ MODEL_SHORT_NAMES = {
     "cnn": "CNN", "cross_attention": "CA", "gnn": "GNN", "mlp": "MLP", "random_forest": "RF",
 }
 MODEL_ORDER = ["RF", "MLP", "CNN", "CA", "GNN"]
+# What an experiment name says about its representation; the first text found counts.
+REPRESENTATION_TEXTS = [
+    ("esm_cdr3", "ESM (CDR3)"), ("esm-cdr3", "ESM (CDR3)"),
+    ("esm_full", "ESM (Full VDJ)"), ("esm-full", "ESM (Full VDJ)"),
+    ("vae", "VAE"), ("one_hot", "One-hot"), ("onehot", "One-hot"),
+    ("raw", "Raw Sequence"), ("gnn", "Graph"), ("autoencoder", "AE"),
+]
+REPRESENTATION_WORDS = [("ae", "AE")]
+UNKNOWN_REPRESENTATION = "Unknown"
+# Texts that say that categories were used, by ledger column, and the two marks.
+METADATA_TEXTS = {
+    "metadata": ["cat_ae", "one_hot"], "feature_augment": ["cat_ae", "one_hot"],
+    "categorical": ["cat_ae", "one_hot"], "experiment_name": ["meta"],
+}
+METADATA_MARKS = ("+", "–")
 REPRESENTATION_ORDER = [
     "One-hot", "AE", "VAE", "ESM (CDR3)", "ESM (Full VDJ)", "Raw Sequence", "Graph",
 ]

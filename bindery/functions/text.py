@@ -11,6 +11,8 @@ from bindery.constants import (
     CLASS_ONE_PATTERN,
     CLASS_TWO_PATTERN,
     CLASS_ONE_PATTERN_STRICT,
+    COLON_ALLELE_PATTERN,
+    LATER_GENES_PATTERN,
     PAD_SYMBOL,
     RESIDUES,
     SPAN_TERMINALS,
@@ -46,8 +48,8 @@ def has_wildcard(*cols: str | Column) -> Column:
 
 def preclean_gene(c: str | Column) -> Column:
     """Repair a gene symbol: ``:01`` becomes ``*01``; ambiguous calls keep the first gene."""
-    starred = F.regexp_replace(_col(c), r":(\d)", r"*$1")
-    return F.btrim(F.regexp_replace(starred, r"(?i)/.*|\s+or\s+.*", ""), F.lit(WHITE_SPACE))
+    starred = F.regexp_replace(_col(c), COLON_ALLELE_PATTERN, r"*$1")
+    return F.btrim(F.regexp_replace(starred, LATER_GENES_PATTERN, ""), F.lit(WHITE_SPACE))
 
 
 def mhc_class(alleles: str | Column, strict_class_names: bool = False) -> Column:

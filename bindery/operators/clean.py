@@ -13,6 +13,7 @@ from bindery.constants import (
     PAIR_COLUMNS,
     PAIRED_SEQUENCES,
     REQUIRED_WITHOUT_MHC_B,
+    STEPS,
     STRONG_METHODS,
     UNSEEN_PEPTIDES,
     VDJDB_COLUMNS,
@@ -172,12 +173,6 @@ def mark_genes(df: DataFrame, gene_ref: DataFrame | None, flag: str) -> DataFram
 # step that says whether the row passes it. The clean table filters on all flags; the
 # funnel counts rows passing the flags up to each step. Both come from one pass.
 
-STEPS = {
-    "VDJdb": ["species", "chain", "required_fields", "wildcards", "confidence_filter", "gene_standardization"],
-    "IEDB": ["species", "chain", "confidence_filter", "required_fields", "wildcards", "gene_standardization"],
-    "McPAS": ["species", "required_fields", "wildcards", "gene_standardization"],
-}
-
 
 def mark_vdjdb(
     raw: DataFrame, gene_ref: DataFrame | None = None, chain: str = "TRB", min_score: int = 1

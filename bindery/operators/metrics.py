@@ -12,11 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.constants import CALIBRATION_EPS, TRAIN_EPS
 from bindery.operators.order import running_totals, value_cuts, with_value_cell
 
-TRAIN_EPS = 1e-8
-CALIBRATION_EPS = 1e-12
-
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b as doubles, null when b is 0."""
@@ -186,6 +184,8 @@ def threshold_report(
 ) -> DataFrame:
     """Test metrics at 0.5 and at the F1-optimal threshold of each named table.
 
+    ``own_f1`` is the F1 that a threshold reaches on the table it was chosen on.
+
     Tables are reduced to one threshold each; these few numbers become plan constants so
     that the test rows are read once for all rules.
     """
@@ -196,21 +196,22 @@ def threshold_report(
     for more in tagged[1:]:
         whole = whole.unionByName(more)
     curve = score_curve(whole, ["rule"], label, score)
-    cuts = {r["rule"]: r["threshold"] for r in best_f1_threshold(curve, ["rule"], eps).collect()}
-    cuts = {"default_0.5": 0.5, **cuts}
+    best = best_f1_threshold(curve, ["rule"], eps).collect()
+    cuts = {"default_0.5": (0.5, None), **{r["rule"]: (r["threshold"], r["best_f1"]) for r in best}}
     # One pass over the test rows: four counts per rule as plain aggregates.
     y, at = F.col(label) == 1, F.col(score)
     count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
     cells = [
         F.struct(
             F.lit(name).alias("rule"), F.lit(float(cut)).alias("threshold"),
+            F.lit(own).cast("double").alias("own_f1"),
             count(y & (at >= cut)).alias("tp"), count(~y & (at >= cut)).alias("fp"),
             count(y & (at < cut)).alias("fn"), count(~y & (at < cut)).alias("tn"),
         )
-        for name, cut in cuts.items()
+        for name, (cut, own) in cuts.items()
     ]
     counts = test.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
-    return _from_confusion(counts, ["rule", "threshold"])
+    return _from_confusion(counts, ["rule", "threshold", "own_f1"])
 
 
 def quantiles(df: DataFrame, score: str, points: Sequence[float]) -> DataFrame:

@@ -18,9 +18,11 @@ from bindery.constants import (
     DRAWS_PAIRED,
     DRAWS_RARE,
     FAR_DISTANCE,
+    LABELLED_COLUMNS,
     MAX_RATIO,
     MIN_PAIRS,
     PAIRED_RECEPTOR,
+    SPLIT_COLUMN,
 )
 from bindery.functions.text import deletions
 from bindery.operators.order import hash_int, hashed_rank, nth_unlisted, take_hashed
@@ -251,10 +253,15 @@ def paired_negatives(
 
 
 def labelled(positives: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Positives (label 1) and negatives on the columns both have."""
-    shared = [c for c in positives.columns if c in drawn.columns and c != "label"]
-    ones = positives.select(*shared).withColumn("label", F.lit(1))
-    return ones.unionByName(drawn.select(*shared, "label"))
+    """Positives (label 1) and negatives in the labelled schema, with ``split`` once assigned.
+
+    Tables of other shapes (two chains) are united on the columns of the negatives.
+    """
+    schema = LABELLED_COLUMNS if set(LABELLED_COLUMNS) <= set(drawn.columns) else drawn.columns
+    if SPLIT_COLUMN in drawn.columns and SPLIT_COLUMN not in schema:
+        schema = [*schema, SPLIT_COLUMN]
+    tagged = {1: positives.withColumn("label", F.lit(1)), 0: drawn}
+    return tagged[1].select(*schema).unionByName(tagged[0].select(*schema))
 
 
 def ratio_counts(positives: DataFrame, drawn: DataFrame) -> DataFrame:

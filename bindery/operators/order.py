@@ -18,6 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bindery.staging import staged
+
 MAX_CELLS = 4096
 
 
@@ -184,7 +186,8 @@ def nth_unlisted(
     """
     width = F.greatest(F.lit(1), F.ceil(F.col(size) / F.lit(cells))).cast("bigint")
     struck = listed.withColumn("_cell", F.floor(F.col(position) / width).cast("int"))
-    struck = running_totals(struck, by, "_cell", [position], {"_t": F.lit(1)})
+    # running_totals reads its input twice; what took joins and counts to make is written once
+    struck = running_totals(staged(struck, "struck"), by, "_cell", [position], {"_t": F.lit(1)})
     struck = struck.select(
         *by,
         F.col(size).alias(size),
@@ -195,7 +198,7 @@ def nth_unlisted(
     both = asked.unionByName(struck, allowMissingColumns=True)
     both = both.withColumn("_cell", F.floor(F.col("_at") / width).cast("int"))
     both = running_totals(
-        both, by, "_cell", ["_at", F.col("_struck").desc()], {"_shift": F.col("_struck")}
+        staged(both, "asked"), by, "_cell", ["_at", F.col("_struck").desc()], {"_shift": F.col("_struck")}
     )
     found = both.filter(F.col("_struck") == 0)
     return found.select(*draws.columns, (F.col(want) + F.col("_shift")).alias(position))

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from bindery.constants import (
     EMBEDDING_ALIASES,
     EMBEDDING_LABELS,
+    METADATA_MARKS,
+    METADATA_TEXTS,
     MODEL_ORDER,
     MODEL_SHORT_NAMES,
     REPRESENTATION_ORDER,
+    REPRESENTATION_TEXTS,
+    REPRESENTATION_WORDS,
+    UNKNOWN_REPRESENTATION,
 )
 from bindery.operators.features import long_values
 
@@ -97,27 +102,20 @@ def experiment_name(receptor: Column, categorical: Column) -> Column:
 def representation(name: Column) -> Column:
     """The sequence representation an experiment name stands for; the first rule counts."""
     n = F.lower(name)
-    return (
-        F.when(n.contains("esm_cdr3") | n.contains("esm-cdr3"), "ESM (CDR3)")
-        .when(n.contains("esm_full") | n.contains("esm-full"), "ESM (Full VDJ)")
-        .when(n.contains("vae"), "VAE")
-        .when(n.contains("one_hot") | n.contains("onehot"), "One-hot")
-        .when(n.contains("raw"), "Raw Sequence")
-        .when(n.contains("gnn"), "Graph")
-        .when(n.contains("autoencoder") | F.array_contains(F.split(n, "_"), "ae"), "AE")
-        .otherwise("Unknown")
-    )
+    found = [F.when(n.contains(text), label) for text, label in REPRESENTATION_TEXTS]
+    words = F.split(n, "_")
+    found += [F.when(F.array_contains(words, word), label) for word, label in REPRESENTATION_WORDS]
+    return F.coalesce(*found, F.lit(UNKNOWN_REPRESENTATION))
 
 
 def metadata_flag(df: DataFrame) -> Column:
     """``+`` when any of the settings or the name says that categories were used."""
-    used = F.lit(False)
-    for c in ("metadata", "feature_augment", "categorical"):
-        if c in df.columns:
-            text = F.coalesce(F.col(c), F.lit(""))
-            used = used | text.contains("cat_ae") | text.contains("one_hot")
-    used = used | F.coalesce(F.col("experiment_name"), F.lit("")).contains("meta")
-    return F.when(used, "+").otherwise("–")
+    said = [
+        F.coalesce(F.col(c).contains(text), F.lit(False))
+        for c, texts in METADATA_TEXTS.items() if c in df.columns for text in texts
+    ]
+    yes, no = METADATA_MARKS
+    return F.when(reduce(lambda a, b: a | b, said, F.lit(False)), yes).otherwise(no)
 
 
 def labelled_results(ledger: DataFrame) -> DataFrame:

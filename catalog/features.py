@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from bindery.constants import RESIDUES
 from bindery.functions import text as tx
 from bindery.functions import vectors as vx
 from bindery.operators import features as ft
@@ -14,7 +15,7 @@ from bindery.operators import split as sp
 from catalog.negatives import ALL
 from catalog.views import stored, table, view, with_views
 
-_AA = "ACDEFGHIKLMNPQRSTVWY"
+_AA = RESIDUES
 
 
 def pairs(spark, folder):
@@ -253,7 +254,7 @@ def q_one_to_one_labels(spark, folder):
         F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).cast("double").alias("label"),
         F.when(F.col("c_custkey") % 2 == 0, "Public").otherwise("Private").alias("usage"),
     )
-    unmatched = solutions.withColumn("id", -F.col("id"))
+    unmatched = solutions.withColumn("id", -1 - F.col("id"))
     return lk.with_labels(customers, solutions.unionByName(unmatched))
 
 

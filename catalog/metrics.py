@@ -76,7 +76,7 @@ def q_threshold_report(spark, folder):
     is_test = F.col("peptide") == "G0"
     is_val = F.col("peptide") == "G1"
     rules = {"val_optimal": part(is_val), "train_optimal": part(~is_test & ~is_val), "test_oracle": part(is_test)}
-    return rounded(mt.threshold_report(part(is_test), rules), "threshold", "accuracy", "f1")
+    return rounded(mt.threshold_report(part(is_test), rules), "threshold", "own_f1", "accuracy", "f1")
 
 
 def q_score_summary(spark, folder):
@@ -253,10 +253,11 @@ ORACLE = {
         f"""WITH tagged AS (SELECT CASE WHEN peptide = 'G0' THEN 'test_oracle' WHEN peptide = 'G1' THEN 'val_optimal'
                               ELSE 'train_optimal' END AS rule, label, score FROM scored),
              {curve_sql('tagged', 'rule')},
-             cuts AS (SELECT rule, threshold FROM {_best('1e-12', by='rule')} UNION ALL SELECT 'default_0.5', 0.5)
-             SELECT rule, round(threshold, 9) AS threshold, {_AT} FROM (SELECT rule, threshold, {_COUNTS}
-               FROM (SELECT rule, threshold, label, score >= threshold AS yes FROM scored, cuts WHERE peptide = 'G0')
-               GROUP BY rule, threshold)""",
+             cuts AS (SELECT rule, threshold, best_f1 FROM {_best('1e-12', by='rule')} UNION ALL SELECT 'default_0.5', 0.5, NULL)
+             SELECT rule, round(threshold, 9) AS threshold, round(best_f1, 9) AS own_f1, {_AT}
+             FROM (SELECT rule, threshold, best_f1, {_COUNTS}
+               FROM (SELECT rule, threshold, best_f1, label, score >= threshold AS yes FROM scored, cuts WHERE peptide = 'G0')
+               GROUP BY rule, threshold, best_f1)""",
         "scored",
     ),
     "score_summary": with_views(

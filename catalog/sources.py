@@ -86,7 +86,7 @@ def q_read_paired_test(spark, folder):
     rows = table(spark, folder, "customer")
     fl.write_csv(rows.select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("Peptide"), F.col("c_mktsegment").alias("HLA")), left)
     answers = rows.select(F.col("c_custkey").alias("ID"), (F.col("c_acctbal") > 5000).cast("int").alias("Label"), F.lit("Public").alias("Usage"))
-    unmatched = rows.select((-F.col("c_custkey")).alias("ID"), F.lit(1).alias("Label"), F.lit("Private").alias("Usage"))
+    unmatched = rows.select((-1 - F.col("c_custkey")).alias("ID"), F.lit(1).alias("Label"), F.lit("Private").alias("Usage"))
     fl.write_csv(answers.unionByName(unmatched), right)
     return fl.read_paired_test(spark, left, right)
 
