@@ -207,16 +207,29 @@ def read_sequences(spark: SparkSession, path: str, from_slot: int = 0) -> DataFr
     """``slot, shard, byte_offset, doc_id, sequence, n_tokens, record`` from a slot on; shards
     before it are not read."""
     shards = spark.read.parquet(path).where(F.col("first_slot") + F.col("n_rows") > from_slot)
-    rows = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda i: F.struct(
-        (F.col("first_slot") + i).alias("slot"),
-        F.col("shard").alias("shard"),
-        (i * F.col("stride")).cast("bigint").alias("byte_offset"),
-        F.get("doc_ids", i).alias("doc_id"),
-        F.get("sequences", i).alias("sequence"),
-        F.get("n_tokens", i).alias("n_tokens"),
-        F.substring("payload", i * F.col("stride") + 1, F.col("stride")).alias("record"),
-    ))
-    return shards.select(F.explode(rows).alias("r")).select("r.*").where(F.col("slot") >= from_slot)
+    fields = ("shard", "first_slot", "n_rows", "stride", "doc_ids", "sequences", "n_tokens", "payload")
+    bounded_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, first, n, stride = (batch.column(c)[i].as_py() for c in range(4))
+                payload = pa.py_buffer(batch.column(7)[i].as_buffer())
+                ends = pa.py_buffer(np.arange(0, (n + 1) * stride, stride, dtype=np.int32))
+                at = np.arange(n, dtype=np.int64)
+                rows = pa.record_batch({
+                    "slot": pa.array(first + at), "shard": pa.array(np.full(n, shard)),
+                    "byte_offset": pa.array(at * stride), "doc_id": batch.column(4)[i].values,
+                    "sequence": batch.column(5)[i].values, "n_tokens": batch.column(6)[i].values,
+                    "record": pa.BinaryArray.from_buffers(pa.binary(), n, [None, ends, payload]),
+                })
+                for begin in range(max(0, from_slot - first), n, 1024):
+                    yield rows.slice(begin, 1024)
+
+    return shards.select(*fields).mapInArrow(
+        run,
+        "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, sequence bigint, n_tokens int, record binary",
+    )
 
 
 def sequence_at(slots, total: int, key: int = 0) -> np.ndarray:
