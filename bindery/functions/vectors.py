@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bindery.constants import PAD_SYMBOL, RESIDUES, UNKNOWN_SYMBOL
+from bindery.constants import PAD_SYMBOL, PAIRED_LENGTH, RESIDUES, UNKNOWN_SYMBOL
 from bindery.functions.text import residue_ids
 
 SYMBOLS = len(RESIDUES) + 2
@@ -150,3 +150,33 @@ def appended(*vectors: str | Column) -> Column:
 def text_of(vec: str | Column) -> Column:
     """Whole numbers as comma text, for reports."""
     return F.array_join(F.transform(_col(vec), lambda x: x.cast("int").cast("string")), ",")
+
+
+def paired_core_vectors(
+    alpha: tuple[str, str, str], beta: tuple[str, str, str], max_len: int = PAIRED_LENGTH
+) -> dict[str, Column]:
+    """Columns for the two CDR3s of a pair, from the residue vectors of its full chains.
+
+    ``alpha`` and ``beta`` name a CDR3, the full chain it stands in and the chain's residue
+    vectors. Each CDR3 is located in its chain and its vectors are cut out: ``pooled`` is the
+    mean of alpha's followed by that of beta's, ``residues`` are both, cut at ``max_len``, and
+    ``alpha_len`` and ``beta_len`` say how many of each there are. A CDR3 that does not stand in
+    its chain, or beyond the stored vectors, makes the row ``misaligned``; its ``pooled`` is null.
+    """
+    parts = []
+    for core, full, stored in (alpha, beta):
+        at = F.instr(_col(full), _col(core)) - 1
+        at = F.when((F.length(core) > 0) & (at >= 0), at)
+        parts.append(span(stored, at, at + F.length(core)))
+    whole = [
+        (length_of(p) == F.length(names[0])) & (F.length(names[0]) > 0)
+        for p, names in zip(parts, (alpha, beta))
+    ]
+    aligned = F.coalesce(whole[0] & whole[1], F.lit(False))
+    return {
+        "pooled": F.when(aligned, F.concat(mean_pool(parts[0]), mean_pool(parts[1]))),
+        "residues": paired_residues(parts[0], parts[1], max_len),
+        "alpha_len": length_of(parts[0]),
+        "beta_len": length_of(parts[1]),
+        "misaligned": ~aligned,
+    }

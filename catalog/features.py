@@ -146,6 +146,32 @@ def q_paired_concat(spark, folder):
     return exploded(out.select("vec_id", "alpha_len", F.flatten("both").alias("v")), ["vec_id", "alpha_len"], "v")
 
 
+def q_paired_core_vectors(spark, folder):
+    """One number per residue; the gaps left in some alpha CDR3s keep them from aligning."""
+    rows = view(spark, folder, "paired")
+    numbers = lambda c: F.transform(F.split(c, ""), lambda x: F.array(F.ascii(x).cast("float")))
+    ready = rows.select(
+        "peptide", "va", "hla", "tcra", "tcrb",
+        F.when(F.length("cdr3b") % 3 == 0, F.col("cdr3a")).otherwise(F.replace("cdr3a", F.lit("-"), F.lit(""))).alias("cdr3a"),
+        F.replace("cdr3b", F.lit("."), F.lit("")).alias("cdr3b"),
+        numbers("tcra").alias("alpha"), numbers("tcrb").alias("beta"),
+    )
+    found = ready.select("*", *[
+        c.alias(name) for name, c in vx.paired_core_vectors(("cdr3a", "tcra", "alpha"), ("cdr3b", "tcrb", "beta"), 20).items()
+    ])
+    return found.select(
+        "peptide", "va", "hla", "cdr3a", "cdr3b", "alpha_len", "beta_len", "misaligned",
+        F.round(F.col("pooled")[0], 6).alias("alpha_mean"), F.round(F.col("pooled")[1], 6).alias("beta_mean"),
+        vx.text_of(F.flatten("residues")).alias("residues"),
+    )
+
+
+def q_misaligned_count(spark, folder):
+    return q_paired_core_vectors(spark, folder).agg(
+        F.count("*").alias("n_rows"), F.count_if("misaligned").alias("n_misaligned")
+    )
+
+
 def q_beta_slice(spark, folder):
     rows = residues(spark, folder)
     alpha, beta = vx.span("residues", "start", "end"), vx.truncated("residues", 6)
@@ -306,6 +332,8 @@ QUERIES = {
     "pooled_vectors": q_pooled_vectors,
     "residue_slices": q_residue_slices,
     "paired_concat": q_paired_concat,
+    "paired_core_vectors": q_paired_core_vectors,
+    "misaligned_count": q_misaligned_count,
     "beta_slice": q_beta_slice,
     "masked_mean": q_masked_mean,
     "residue_edges": q_residue_edges,
@@ -381,6 +409,19 @@ _STORE = f"""rs AS (SELECT cdr3, list_append(list_transform({_ids('cdr3', 6)}, l
       SELECT cdr3, min(v_gene) AS v_gene FROM positives WHERE v_gene <> 'TRBV3*01' GROUP BY cdr3)),
     ps AS (SELECT peptide, {_ids('peptide', 4)} AS vec FROM (SELECT DISTINCT peptide FROM positives WHERE peptide NOT LIKE 'A%'))"""
 
+_CORES = """
+  raw AS (SELECT peptide, va, hla, tcra, tcrb, replace(cdr3b, '.', '') AS cdr3b,
+                 CASE WHEN length(cdr3b) % 3 = 0 THEN cdr3a ELSE replace(cdr3a, '-', '') END AS cdr3a FROM paired),
+  cut AS (SELECT *, CASE WHEN instr(tcra, cdr3a) > 0 THEN cdr3a ELSE '' END AS a,
+                 CASE WHEN instr(tcrb, cdr3b) > 0 THEN cdr3b ELSE '' END AS b FROM raw),
+  coded AS (SELECT *, list_transform(range(1, length(a) + 1), lambda i: ascii(substr(a, i, 1))) AS na,
+                   list_transform(range(1, length(b) + 1), lambda i: ascii(substr(b, i, 1))) AS nb FROM cut),
+  cores AS (SELECT peptide, va, hla, cdr3a, cdr3b, length(a)::INT AS alpha_len, length(b)::INT AS beta_len,
+                   a = '' OR b = '' AS misaligned,
+                   CASE WHEN a <> '' AND b <> '' THEN round(list_sum(na)::DOUBLE / length(a), 6) END AS alpha_mean,
+                   CASE WHEN a <> '' AND b <> '' THEN round(list_sum(nb)::DOUBLE / length(b), 6) END AS beta_mean,
+                   array_to_string(list_concat(na, nb)[1:20], ',') AS residues FROM coded)"""
+
 ORACLE = {
     "tokenize_pad": with_views(
         f"""WITH {_WORDS} SELECT cdr3, peptide, {_text(_ids(_ODD, 12))} AS ids, {_text(_mask(_ODD, 12))} AS mask,
@@ -446,6 +487,10 @@ ORACLE = {
         SELECT vec_id, length, len(v) AS n_numbers, round(coalesce(list_sum(list_transform(v, lambda x: x::DOUBLE)), 0), 6) AS total FROM k""",
     "paired_concat": f"""WITH {_RES}, k AS (SELECT vec_id, coalesce(len(part), 0) AS alpha_len,
             flatten(list_concat(coalesce(part, []), r[1:6])[1:7]) AS v FROM cut) {_spread('k', 'v', 'vec_id, alpha_len')}""",
+    "paired_core_vectors": with_views(f"WITH {_CORES} SELECT * FROM cores", "paired"),
+    "misaligned_count": with_views(
+        f"WITH {_CORES} SELECT count(*) AS n_rows, count(*) FILTER (WHERE misaligned) AS n_misaligned FROM cores", "paired"
+    ),
     "beta_slice": f"WITH {_RES}, k AS (SELECT vec_id, flatten(r[1:5]) AS v FROM cut) {_spread('k', 'v')}",
     "masked_mean": f"""WITH {_RES}, k AS (SELECT vec_id, list_transform(range(1, 9), lambda d:
             coalesce(list_sum(list_transform(r[1 : vec_id % 9], lambda x: x[d]::DOUBLE)), 0) / greatest(1, least(8, vec_id % 9))) AS v FROM cut)
