@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bindery.operators import metrics as mt
 from bindery.operators import split as sp
 from bindery.operators.order import every_nth, ordered_rank
+from bindery.plans.experiments import save_run
+from bindery.staging import shared_folder
 from catalog.views import table, view, with_views
 
 D = 9  # digits kept of every floating result
@@ -57,6 +61,16 @@ def q_per_peptide(spark, folder):
     return rounded(mt.per_peptide_metrics(fine(spark, folder)), "auc01", "auroc", "auprc")
 
 
+def q_saved_metrics(spark, folder):
+    """The metrics by peptide that a run saves, read back from its folder."""
+    path = f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    rows = fine(spark, folder)
+    save_run(path, mt.overall_metrics(rows).first().asDict(), rows)
+    kinds = mt.per_peptide_metrics(rows).schema
+    back = spark.read.csv(f"{path}/per_peptide", header=True, schema=kinds)
+    return rounded(back, "auc01", "auroc", "auprc")
+
+
 def q_macro_auc(spark, folder):
     return rounded(mt.macro_auc01(mt.per_peptide_metrics(fine(spark, folder))), "macro_auc01")
 
@@ -140,6 +154,7 @@ QUERIES = {
     "partial_auc": q_partial_auc,
     "overall_metrics": q_overall_metrics,
     "per_peptide_metrics": q_per_peptide,
+    "saved_metrics": q_saved_metrics,
     "macro_auc": q_macro_auc,
     "best_f1_threshold": q_best_f1_threshold,
     "confusion_at": q_confusion_at,
@@ -237,6 +252,7 @@ ORACLE = {
         "scored",
     ),
     "per_peptide_metrics": f"WITH {_FINE}, {curve_sql('fine')}, {metric_sql()}, {_PER} SELECT * FROM per",
+    "saved_metrics": f"WITH {_FINE}, {curve_sql('fine')}, {metric_sql()}, {_PER} SELECT * FROM per",
     "macro_auc": f"""WITH {_FINE}, {curve_sql('fine')}, {metric_sql()}
         SELECT round(avg(auc01), 9) AS macro_auc01, count(auc01) AS n_peptides FROM summed WHERE n_pos > 0 AND n_neg > 0""",
     "best_f1_threshold": with_views(
