@@ -10,6 +10,7 @@ in order, starts again at any slot, and asks ``sequence_at`` for what stands in
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -28,7 +29,7 @@ SHARD_ROWS = 8192
 ROUNDS = 6
 PAD = 0
 
-_KEPT_UNITS = 400_000
+_KEPT_UNITS = 600_000
 
 
 class Feistel:
@@ -70,8 +71,9 @@ class Feistel:
         return self._walk(slots, self.keys[::-1])
 
 
-class UnitIds(dict):
-    """Ids of units as bytes of 16-bit numbers, remembered; cleared when it is full."""
+class UnitIds:
+    """Ids of texts as bytes of 16-bit numbers, from units that are remembered; the memory is
+    cleared when it is full. New units of a batch go to the library together."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -79,23 +81,25 @@ class UnitIds(dict):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         if self.model.get_piece_size() > 1 << 16:
             raise ValueError("ids of this model do not fit 16 bits")
-        self.end = np.array([self.model.eos_id()], "<u2").tobytes()
-
-    def __missing__(self, unit: bytes) -> bytes:
-        text = unit_text(unit)
-        if text == SPACE:
-            ids = [self.model.piece_to_id(SPACE)]
-        else:  # the library puts a space mark in front
-            marked = text[0] == SPACE
-            ids = self.model.encode((text[1:] if marked else text).replace(SPACE, " "), num_threads=1)
-            ids = ids if marked else ids[1:]
-        if len(self) > _KEPT_UNITS:
-            self.clear()
-        found = self[unit] = np.array(ids, "<u2").tobytes()
-        return found
-
-    def of(self, text: str) -> bytes:
-        return b"".join([self[u] for u in units_of(text)]) + self.end
+        self.end = array("H", [self.model.eos_id()]).tobytes()
+        self.mark = array("H", [self.model.piece_to_id(SPACE)]).tobytes()
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        # the library puts a space mark in front, which units that have one of their own leave out
+        texts = [unit_text(u) for u in new]
+        asked = [(t[1:] if t[0] == SPACE else t).replace(SPACE, " ") for t in texts]
+        for unit, text, ids in zip(new, texts, self.model.encode(asked, num_threads=1), strict=True):
+            own = array("H", ids if text[0] == SPACE else ids[1:]).tobytes()
+            self.known[unit] = self.mark if text == SPACE else own
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        units = list(map(units_of, texts))
+        if len(self.known) > _KEPT_UNITS:
+            self.known.clear()
+        self._learn(list(set().union(*units).difference(self.known)))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, u)) + self.end for u in units]
 
 
 def _tokenised(docs: DataFrame, path: str, sequence: int) -> DataFrame:
@@ -107,7 +111,7 @@ def _tokenised(docs: DataFrame, path: str, sequence: int) -> DataFrame:
         ids_of, first, part = UnitIds(path), 0, TaskContext.get().partitionId()
         for batch in batches:
             doc_ids, texts = (c.to_pylist() for c in batch.columns)
-            ids = [ids_of.of(t) for t in texts]
+            ids = ids_of.of(texts)
             counts = [-(-len(i) // (2 * sequence)) for i in ids]
             ends = list(accumulate(counts, initial=first))
             first = ends[-1]
