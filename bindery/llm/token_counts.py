@@ -15,7 +15,6 @@ they share. The library's own count of the unit confirms each table.
 from __future__ import annotations
 
 import re
-from array import array
 from bisect import bisect_right
 from collections.abc import Callable
 from itertools import accumulate
@@ -137,15 +136,20 @@ def _encoder(path: str) -> Callable:
         tables = PrefixTables(path)
 
         def encode(units: list[bytes]) -> list[bytes]:
-            return [array("I", t).tobytes() for t in tables.confirmed([unit_text(u) for u in units])]
+            tables_of = tables.confirmed([unit_text(u) for u in units])
+            return [" ".join(map(str, t)).encode() for t in tables_of]
 
         return encode
 
     return make
 
 
+def _counts(value: bytes) -> list[int]:
+    return [int(c) for c in value.split()]
+
+
 def _total(value: bytes) -> int:
-    return int.from_bytes(value[-4:], "little")
+    return int(value[value.rfind(b" ") + 1:])
 
 
 def cut_at(units: list[bytes], value_of: dict[bytes, tuple[int, bytes]], limit: int) -> int:
@@ -158,7 +162,7 @@ def cut_at(units: list[bytes], value_of: dict[bytes, tuple[int, bytes]], limit:
     whole = bisect_right(ends, limit)
     chars = sum(len(unit_text(u)) for u in units[:whole]) - (whole > 0)
     if whole < len(units):
-        counts = memoryview(value_of[units[whole]][1]).cast("I")
+        counts = _counts(value_of[units[whole]][1])
         left = limit - (ends[whole - 1] if whole else 0)
         inside = max(i for i in range(len(counts)) if counts[i] <= left)
         chars += inside - (whole == 0 and inside > 0)
@@ -203,7 +207,7 @@ def prefix_counts(
         def make(doc_id, text, units, value_of):
             at, before = [0], 0
             for k, unit in enumerate(units):
-                counts = value_of[unit].tolist()
+                counts = value_of[unit]
                 at += [before + c for c in counts[1 + (k == 0):]]
                 before += counts[-1]
             return doc_id, at
@@ -213,5 +217,5 @@ def prefix_counts(
     return with_word_values(
         documents(df, id_col, text_col), _units, _encoder(path), assembler,
         "doc_id bigint, n_tokens_at array<int>",
-        prepare=lambda value: memoryview(value).cast("I"),
+        prepare=_counts,
     )

@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from bindery.llm.shared import bounded_batches, partitions
@@ -28,11 +29,21 @@ PACK_CHARS = 8_000_000
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     out = io.BytesIO()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    codec = pa.Codec("zstd", compression_level=6)
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
         w.write_batch(batch)
     return out.getvalue()
 
 
+def _joined(parts: list[bytes], between: bytes) -> bytes:
+    """Compressed text of ``parts``, none of which holds ``between``."""
+    return zstandard.ZstdCompressor(level=9).compress(between.join(parts))
+
+
+def _parted(data: bytes, between: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(between)
+
+
 def _unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
@@ -78,7 +89,8 @@ def with_word_values(
 ) -> DataFrame:
     """Rows of ``schema`` for (doc_id, text) rows, one each.
 
-    ``splitter`` gives a text's words in order, ``encoder`` the values of distinct words,
+    ``splitter`` gives a text's words in order, none with a blank in it, and ``encoder`` the
+    values of distinct words, none with a line feed in it;
     ``assembler`` the row of a document from its words and the values of its pack's words
     (each passed through ``prepare`` once a pack). Each of them is a factory, called once a
     task. No rows give no rows.
@@ -99,10 +111,9 @@ def with_word_values(
                     owned.setdefault(zlib.crc32(word) % ranges, []).append(word)
                 for part, words in owned.items():
                     words.sort()
-                    listed = _packed(pa.record_batch({"word": pa.array(words, pa.binary())}))
                     yield pa.record_batch({
                         "part": pa.array([part], pa.int32()), "pack": pa.array([name], pa.binary()),
-                        "words": pa.array([listed], pa.binary()),
+                        "words": pa.array([_joined(words, b" ")], pa.binary()),
                     })
 
     def values_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +121,13 @@ def with_word_values(
         known: dict[bytes, bytes] = {}
         for batch in batches:
             for name, listed in zip(*(batch.column(c).to_pylist() for c in ("pack", "words")), strict=True):
-                words = _unpacked(listed).column("word").to_pylist()
+                words = _parted(listed, b" ")
                 new = [w for w in words if w not in known]
                 known.update(zip(new, encode(new), strict=True))
-                both = pa.record_batch({
-                    "word": pa.array(words, pa.binary()),
-                    "value": pa.array([known[w] for w in words], pa.binary()),
-                })
+                coded = _joined([known[w] for w in words], b"\n")
                 yield pa.record_batch({
-                    "pack": pa.array([name], pa.binary()), "coded": pa.array([_packed(both)], pa.binary()),
+                    "pack": pa.array([name], pa.binary()), "words": pa.array([listed], pa.binary()),
+                    "coded": pa.array([coded], pa.binary()),
                 })
 
     target = spark.createDataFrame([], schema).schema
@@ -129,12 +138,9 @@ def with_word_values(
         arrow = to_arrow_schema(target)
         split, make = splitter(), assembler()
         value: dict[bytes, object] = {}
-        for coded in values.column("coded").to_pylist():
-            both = _unpacked(coded)
-            found = both.column("value").to_pylist()
-            value.update(zip(
-                both.column("word").to_pylist(), map(prepare, found) if prepare else found, strict=True
-            ))
+        for listed, coded in zip(*(values.column(c).to_pylist() for c in ("words", "coded")), strict=True):
+            found = _parted(coded, b"\n")
+            value.update(zip(_parted(listed, b" "), map(prepare, found) if prepare else found, strict=True))
         rows = []
         for data in pack.column("data").to_pylist():
             whole = _unpacked(data)
@@ -147,5 +153,5 @@ def with_word_values(
         )
 
     listed = spread.mapInArrow(words_of, "part int, pack binary, words binary")
-    coded = listed.repartition(ranges, "part").mapInArrow(values_of, "pack binary, coded binary")
+    coded = listed.repartition(ranges, "part").mapInArrow(values_of, "pack binary, words binary, coded binary")
     return spread.groupBy("pack").cogroup(coded.groupBy("pack")).applyInArrow(rows_of, target)
