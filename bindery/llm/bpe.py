@@ -8,8 +8,10 @@ library itself encodes each distinct word once, with its normalisation and speci
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def encode_documents(
 
     def assembler():
         def make(doc_id, text, words, ids_of):
-            ids = [int(i) for w in words for i in ids_of[w].split()]
+            ids = np.frombuffer(b"".join(map(ids_of.__getitem__, words)), np.int32)
             return doc_id, len(ids), ids
 
         return make
@@ -72,6 +74,7 @@ def encode_documents(
     return with_word_values(
         documents(df, id_col, text_col), _words, _encoder(path), assembler,
         "doc_id bigint, n_tokens bigint, ids array<int>",
+        prepare=lambda ids: array("i", map(int, ids.split())).tobytes(),
     )
 
 
