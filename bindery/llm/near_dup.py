@@ -137,9 +137,11 @@ def _forest(nodes: DataFrame) -> Iterator[tuple[DataFrame, int]]:
     after the last level those that are not, with the depth."""
     open_rows = None
     for depth in DEPTHS:
-        rows = _keyed(nodes, depth)
-        if open_rows is not None:  # only what is left of the level above
-            rows = rows.join(open_rows, ["node", "tree"], "left_semi")
+        if open_rows is None:
+            rows = _keyed(nodes, depth)
+        else:  # only what is left of the level above
+            left = nodes.join(open_rows.select("node").distinct(), "node", "left_semi")
+            rows = _keyed(left, depth).join(open_rows, ["node", "tree"], "left_semi")
         counts = rows.groupBy("key").agg(F.count("*").alias("in_region"))
         found = rows.join(counts.where(f"in_region between 2 and {REGION}"), "key")
         yield found.select("key", "node", "short"), depth
