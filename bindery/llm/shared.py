@@ -16,7 +16,7 @@ import bindery.llm
 cloudpickle.register_pickle_by_value(bindery.llm)
 
 #: Rows in one Arrow batch are also bounded by bytes, so that very long texts do not pile up.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,7 @@ def per_text(
                 [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)],
                 schema=arrow,
             )
+        pa.default_memory_pool().release_unused()  # the worker lives on after its task
 
     return df.mapInArrow(run, target)
 

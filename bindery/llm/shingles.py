@@ -16,7 +16,7 @@ class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered; the memory is cleared when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found

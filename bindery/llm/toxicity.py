@@ -65,8 +65,8 @@ class ToxicityModel:
 class WordScores:
     """Scores of words under a model, optionally without one fold's counts."""
 
-    def __init__(self, model: ToxicityModel, without: int | None = None):
-        self.model, self.without = model, without
+    def __init__(self, model: ToxicityModel, without: int | None = None, kept: int = 150_000):
+        self.model, self.without, self.kept = model, without, kept
         self.base = model.base(without)
         self.known: dict[str, float] = {}
 
@@ -89,7 +89,7 @@ class WordScores:
                     share = self._share(word[:n], share)
             share = self._share(word + "$", share) if word else share
             odds = math.log(share / (1 - share)) - math.log(self.base / (1 - self.base))
-            if len(self.known) > 500_000:  # only a memory of earlier answers
+            if len(self.known) > self.kept:  # only a memory of earlier answers
                 self.known.clear()
             found = self.known[chunk] = odds - COST
         return found
@@ -232,7 +232,7 @@ def _nodes(sample: DataFrame, base: float) -> dict[str, tuple[list[int], list[in
 
 def _calibrate(sample: DataFrame, model: ToxicityModel) -> None:
     def make():
-        scores = [WordScores(model, f) for f in range(FOLDS)]
+        scores = [WordScores(model, f, kept=40_000) for f in range(FOLDS)]
 
         def step(columns):
             rows = []
