@@ -47,8 +47,8 @@ def _order(tree: int) -> list[int]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, node, signature`` of (doc_id, text) rows; ``node`` is a digest of the set,
-    null for the empty set."""
+    """``doc_id, n, node, signature, md5`` of (doc_id, text) rows; ``node`` is a digest of the set,
+    null for the empty set, and ``md5`` one of the text."""
 
     def make():
         import hashlib
@@ -61,14 +61,15 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 hashes = shingle_hashes(space_words(text), width, known)
                 if len(hashes):
                     node = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                    rows.append((doc_id, len(hashes), node, minhash(hashes, functions).tobytes()))
+                    digest = hashlib.md5(text.encode(), usedforsecurity=False).digest()
+                    rows.append((doc_id, len(hashes), node, minhash(hashes, functions).tobytes(), digest))
                 else:
-                    rows.append((doc_id, 0, None, None))
+                    rows.append((doc_id, 0, None, None, None))
             return rows
 
         return step
 
-    return per_text(docs, make, "doc_id bigint, n bigint, node binary, signature binary")
+    return per_text(docs, make, "doc_id bigint, n bigint, node binary, signature binary, md5 binary")
 
 
 def _keyed(nodes: DataFrame, depth: int) -> DataFrame:
@@ -232,18 +233,18 @@ def near_components(
     nodes = staged(
         rows.where("node is not null").groupBy("node").agg(
             F.first("signature").alias("signature"), F.min("doc_id").alias("doc_id"),
-            F.first("n").alias("n"),
+            F.first("n").alias("n"), F.min(F.struct("doc_id", "md5")).alias("source"),
         ), "nodes",
     )
     clusters = staged(_clusters(nodes, num / den), "clusters").withColumnRenamed("component", "part")
-    members = clusters.join(nodes.select("node", "doc_id", "n"), "node")
-    texts = docs.withColumnRenamed("doc_id", "id").join(
-        members, F.col("id").eqNullSafe(F.col("doc_id"))
-    ).select("part", "node", "text")
+    members = clusters.join(nodes.select("node", "source", "n"), "node")
+    # one text of each node: ids may repeat or be null, so a row is told by its text as well
+    source = F.struct("doc_id", F.unhex(F.md5("text")).alias("md5"))
+    texts = docs.select("text", source.alias("source")).join(members, "source")
+    texts = texts.groupBy("part", "node").agg(F.first("text").alias("text"))
     sums = members.groupBy("part").agg(F.sum("n").alias("n"))
     large = staged(sums.where(F.col("n") > CLUSTER_SHINGLES).select("part"), "large")
     if large.isEmpty():
-        # ids are unique as a rule; where not, a row's own digest tells which text was meant
         links = staged(_confirmed(texts, width, num, den).where("a <> b"), "links")
     else:
         split = clusters.join(large, "part", "left_semi").select("node")

@@ -94,3 +94,23 @@ def test_long_paths_are_one_component(spark):
     got = {r["node"]: r["component"] for r in connected_components(frame(spark, edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(3)}}
     assert connected_components(frame(spark, [], "a bigint, b bigint")).collect() == []
+
+
+def test_repeated_and_null_ids_keep_their_own_texts(spark):
+    """Texts under one id are in one cluster but not linked; another text is linked to one only."""
+    rows, want = [], {}
+    for f in range(6):
+        base = prose(600 + f, 120, 10**6).split()
+        near = [*base[:-8], *(f"n{k}" for k in range(8))]
+        far = [*(f"f{k}" for k in range(22)), *base[22:]]
+        shared, least = (None if f % 2 else 100 + f), f
+        rows += [(shared, " ".join(base)), (shared, " ".join(far)), (least, " ".join(near))]
+        want |= {(shared, rows[-3][1]): least, (shared, rows[-2][1]): shared, (least, rows[-1][1]): least}
+    sizes = {}
+    for i, t in rows:
+        sizes.setdefault((i, len(t.split())), []).append(want[i, t])
+    got = {}
+    for r in near_components(frame(spark, rows)).collect():
+        got.setdefault((r["doc_id"], r["n_shingles"] + 4), []).append(r["component_id"])
+    order = lambda v: sorted(v, key=str)
+    assert {k: order(v) for k, v in got.items()} == {k: order(v) for k, v in sizes.items()}
