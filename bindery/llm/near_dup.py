@@ -11,14 +11,16 @@
    hold every link (the agreement asked for lies five deviations below the threshold's), and
    more.
 4. Clusters get their whole texts, and all links inside one are confirmed on full sets. A
-   cluster with more than ``CLUSTER_SHINGLES`` is confirmed by regions instead.
+   cluster with more than ``CLUSTER_SHINGLES`` is confirmed in blocks of a quarter of that, each
+   on its own and then against every other, with the same result.
 5. Components of the confirmed links, named by their least document.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +90,80 @@ def _agreement(threshold: float) -> int:
     return math.floor(HASHES * threshold - 5 * math.sqrt(HASHES * threshold * (1 - threshold)))
 
 
+def _grown(label: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each place the first place of its component. Places with one label are together from
+    the start; ``linked(i, left)`` gives those of ``left`` that have a link to place ``i``, and is
+    asked for every place and all that no component has reached by then."""
+    order = np.argsort(label, kind="stable")
+    begin = np.searchsorted(label[order], label, "left")
+    end = np.searchsorted(label[order], label, "right")
+    first, open_ = np.empty(len(label), np.int64), np.ones(len(label), bool)
+    left = np.arange(len(label))
+    while len(left):
+        root, found = left[0], left[:1]
+        front: list[int] = []
+        while True:
+            for i in np.unique(begin[found]):
+                together = order[i:end[order[i]]]
+                open_[together], first[together] = False, root
+                front += together.tolist()
+            if len(found):
+                left = left[open_[left]]
+            if not front or not len(left):
+                break
+            found = linked(front.pop(), left)
+    return first
+
+
+def _by_blocks(
+    rows: DataFrame, payload: Callable[[pa.Table], object], linker: Callable[[list], Callable]
+) -> DataFrame:
+    """(a, b) star edges of the pieces of each part, from (part, block, blocks, node, ...) rows.
+
+    A block is packed with its own pieces; each pair of blocks is one group of two packs, and
+    passes on an edge for every piece that grows there, so edges do not grow with the pairs.
+    """
+
+    def solve(table: pa.Table) -> pa.Table:
+        nodes, own = table.column("node").to_pylist(), payload(table)
+        first = _grown(np.arange(len(nodes)), linker([own]))
+        data = pickle.dumps((nodes, first, own), protocol=5)
+        keys = {c: table.column(c)[:1].combine_chunks() for c in ("part", "block", "blocks")}
+        return pa.table({**keys, "size": pa.array([len(data)]), "data": pa.array([pa.compress(data, "zstd", asbytes=True)])})
+
+    def opened(size: int, data: bytes) -> tuple:
+        return pickle.loads(pa.decompress(data, size, "zstd", asbytes=True))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                nodes, first, _ = opened(size, data)
+                yield _edge_batch([(nodes[f], nodes[i]) for i, f in enumerate(first) if i != f])
+
+    def across(table: pa.Table) -> pa.Table:
+        packs = [opened(s, d) for s, d in zip(table.column("size").to_pylist(), table.column("data").to_pylist(), strict=True)]
+        if len(packs) < 2:  # no node fell into the other block
+            return pa.Table.from_batches([_edge_batch([])])
+        (nodes, label, one), (more, other, two) = packs
+        nodes, label = nodes + more, np.concatenate([label, other + len(nodes)])
+        first = _grown(label, linker([one, two]))
+        return pa.Table.from_batches([_edge_batch([(nodes[first[i]], nodes[i]) for i in np.unique(label) if first[i] != i])])
+
+    bounded_batches(rows.sparkSession)
+    kind = rows.schema["part"].dataType.simpleString()
+    packs = staged(rows.groupBy("part", "block", "blocks").applyInArrow(
+        solve, f"part {kind}, block bigint, blocks bigint, size bigint, data binary"
+    ), "packs")
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    pairs = packs.withColumn("other", F.explode(F.filter(blocks, lambda j: j != F.col("block")))).select(
+        "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "size", "data"
+    )
+    edges = "a binary, b binary"
+    return packs.select("size", "data").mapInArrow(inside, edges).unionByName(
+        pairs.groupBy("part", "low", "high").applyInArrow(across, edges)
+    )
+
+
 def _stars(regions: DataFrame, least: int) -> DataFrame:
     """(a, b) star edges of the pieces of each region, from rows sorted by key."""
     bounded_batches(regions.sparkSession)
@@ -170,46 +246,54 @@ def _clusters(nodes: DataFrame, threshold: float) -> DataFrame:
     return connected_components(every)
 
 
-def _links(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """For each set the index of its component's first, over all pairs with
-    ``den * |a & b| >= num * |a | b|``."""
-    m = len(sets)
-    root = list(range(m))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    sizes = np.array([len(s) for s in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    lengths = np.diff(np.append(starts, len(values)))
-    distinct = values[starts]
-    for i in range(m - 1):
-        at = np.searchsorted(distinct, sets[i])
-        begin, n = starts[at], lengths[at]
-        spread = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(owner[spread], minlength=m)[i + 1:]
-        union = sizes[i] + sizes[i + 1:] - common
-        for j in np.flatnonzero(den * common >= num * union):
-            a, b = find(i), find(i + 1 + int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(m)]
+def _packed_sets(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of the ``text`` column: their sizes, all distinct shingles, and for each set the
+    ascending places of its own among these, as differences (near copies then compress well)."""
+    known = WordHashes()
+    sets = [shingle_hashes(space_words(t.as_py()), width, known) for t in table.column("text")]
+    distinct, places = np.unique(np.concatenate(sets), return_inverse=True)
+    return np.array([len(s) for s in sets]), distinct, np.diff(places, prepend=0).astype(np.int32)
+
+
+def _overlapping(
+    packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], num: int, den: int
+) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Links ``den * |a & b| >= num * |a | b|`` in one block, or from one block to another."""
+    sizes = np.concatenate([p[0] for p in packs])
+    side = np.repeat(np.arange(len(packs)), [len(p[0]) for p in packs])
+    distinct, at = np.unique(np.concatenate([p[1] for p in packs]), return_inverse=True)
+    offsets = np.cumsum([0] + [len(p[1]) for p in packs])
+    ids = np.concatenate([at[o + np.cumsum(p[2], dtype=np.int64)] for o, p in zip(offsets, packs, strict=False)])
+    ends = np.cumsum(sizes)
+    owner, starts, lengths, indexed = None, None, None, 0
+
+    def linked(i: int, left: np.ndarray) -> np.ndarray:
+        nonlocal owner, starts, lengths, indexed
+        if owner is None or 2 * len(left) < indexed:  # who holds a shingle, of those still left
+            within = np.zeros(len(sizes), bool)
+            within[left] = True
+            keep = np.repeat(within, sizes)
+            held, owner = ids[keep], np.repeat(np.arange(len(sizes)), sizes)[keep]
+            owner = owner[np.argsort(held, kind="stable")]
+            lengths = np.bincount(held, minlength=len(distinct))
+            starts, indexed = np.cumsum(lengths) - lengths, len(left)
+        mine = ids[ends[i] - sizes[i]:ends[i]]
+        n = lengths[mine]
+        spread = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if len(packs) > 1:
+            left = left[side[left] != side[i]]
+        common = np.bincount(owner[spread], minlength=len(sizes))[left]
+        return left[den * common >= num * (sizes[i] + sizes[left] - common)]
+
+    return linked
 
 
 def _confirmed(groups: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b) star edges of confirmed links, from (part, node, text) rows, one part at a time."""
 
     def solve(rows: pa.Table) -> pa.Table:
-        known = WordHashes()
         nodes = rows.column("node").to_pylist()
-        sets = [shingle_hashes(space_words(t.as_py()), width, known) for t in rows.column("text")]
-        first = _links(sets, num, den)
+        first = _grown(np.arange(len(nodes)), _overlapping([_packed_sets(rows, width)], num, den))
         return pa.Table.from_batches([_edge_batch([(nodes[f], n) for f, n in zip(first, nodes, strict=True)])])
 
     return groups.groupBy("part").applyInArrow(solve, "a binary, b binary")
@@ -243,21 +327,19 @@ def near_components(
     texts = docs.select("text", source.alias("source")).join(members, "source")
     texts = texts.groupBy("part", "node").agg(F.first("text").alias("text"))
     sums = members.groupBy("part").agg(F.sum("n").alias("n"))
-    large = staged(sums.where(F.col("n") > CLUSTER_SHINGLES).select("part"), "large")
+    blocks = F.ceil(4 * F.col("n") / CLUSTER_SHINGLES).alias("blocks")
+    large = staged(sums.where(F.col("n") > CLUSTER_SHINGLES).select("part", blocks), "large")
     if large.isEmpty():
-        links = staged(_confirmed(texts, width, num, den).where("a <> b"), "links")
+        links = _confirmed(texts, width, num, den)
     else:
-        split = clusters.join(large, "part", "left_semi").select("node")
-        wide = staged(nodes.join(split, "node", "left_semi"), "wide")
-        regions = None
-        for found, _ in _forest(wide):
-            one = found.select(F.col("key").cast("string").cast("binary").alias("part"), "node")
-            regions = one if regions is None else regions.unionByName(one)
-        by_region = regions.join(texts.select("node", "text"), "node").select("part", "node", "text")
-        small = texts.join(large, "part", "left_anti")
-        links = staged(
-            _confirmed(small.unionByName(by_region), width, num, den).where("a <> b"), "links"
+        split = texts.join(large, "part").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        links = _confirmed(texts.join(large, "part", "left_anti"), width, num, den).unionByName(
+            _by_blocks(
+                split.select("part", "block", "blocks", "node", "text"),
+                lambda table: _packed_sets(table, width), lambda packs: _overlapping(packs, num, den),
+            )
         )
+    links = staged(links.where("a <> b"), "links")
     named = connected_components(links).join(nodes.select("node", "doc_id"), "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_node = named.join(least, "component").select("node", "least")

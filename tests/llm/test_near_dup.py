@@ -96,6 +96,24 @@ def test_long_paths_are_one_component(spark):
     assert connected_components(frame(spark, [], "a bigint, b bigint")).collect() == []
 
 
+def fringed(seed, copies, fringe):
+    """A text, copies of it with another last word, and texts at 0.81 of it but 0.79 of its copies."""
+    rng, base = random.Random(seed), prose(seed, 100, 10**6).split()
+    rows = [(0, " ".join(base))] + [(1 + i, " ".join([*base[:-1], f"c{i}"])) for i in range(copies)]
+    for i in range(fringe):
+        words = list(base)
+        for p in (rng.randrange(5, 45), rng.randrange(50, 90)):
+            words[p] = f"f{i}.{p}"
+        rows.append((10_000 + i, " ".join(words)))
+    return rows
+
+
+def test_large_clusters_are_confirmed_over_all_pairs(spark, monkeypatch):
+    rows = fringed(5, 60, 20)
+    monkeypatch.setattr(near_dup, "CLUSTER_SHINGLES", 3000)
+    assert result(frame(spark, rows)) == brute(rows, 5, 80, 100)
+
+
 def test_repeated_and_null_ids_keep_their_own_texts(spark):
     """Texts under one id are in one cluster but not linked; another text is linked to one only."""
     rows, want = [], {}
