@@ -2,14 +2,14 @@
 
 1. Every text becomes a set of hashed word shingles and a signature of ``HASHES`` minima. Rows
    with equal sets are one node from here on.
-2. The forest: ``TREES`` orders of the signature's values. Nodes with a common prefix in one
-   order form a region; the prefix is ``DEPTHS[0]`` values long, and longer only in regions
-   of more than ``REGION`` nodes, level by level. Regions of one node, which are almost all,
-   end there.
+2. The forest: ``TREES`` orders of the signature's values. Nodes whose first ``DEPTH`` values are
+   equal in one order form a region. Regions of one node, which are almost all, end there.
 3. In a region, nodes whose signatures agree in enough places hang together; a region passes on
-   a spanning star of each such piece, not its pairs. Components of these are *clusters*: they
-   hold every link (the agreement asked for lies five deviations below the threshold's), and
-   more.
+   a spanning star of each such piece, not its pairs. Regions of more than ``REGION`` nodes that
+   share nodes are searched together, in blocks: each on its own, then against every other.
+   Components of these are *clusters*: they hold every link of a region (the agreement asked for
+   lies five deviations below the threshold's), and more. Two texts with a similarity of 0.80
+   have a region in common but for a chance of 1 in 97,000.
 4. Clusters get their whole texts, and all links inside one are confirmed on full sets. A
    cluster with more than ``CLUSTER_SHINGLES`` is confirmed in blocks of a quarter of that, each
    on its own and then against every other, with the same result.
@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.components import connected_components
@@ -35,9 +35,11 @@ from bindery.staging import staged
 
 HASHES = 64
 TREES = 16
-#: Values in a region's prefix; the last level is the whole signature.
-DEPTHS = (3, 6, 10, 16, 26, 40, 64)
+#: Values in a region's prefix.
+DEPTH = 3
+#: Nodes of a region in one task; also of a block, as long as a group has no more than ``BLOCKS``.
 REGION = 1024
+BLOCKS = 64
 CLUSTER_SHINGLES = 8_000_000
 
 
@@ -74,15 +76,19 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return per_text(docs, make, "doc_id bigint, n bigint, node binary, signature binary, md5 binary")
 
 
-def _keyed(nodes: DataFrame, depth: int) -> DataFrame:
+def _short() -> Column:
+    """A byte of each value of the signature."""
+    return F.concat(*[F.substring("signature", 4 * p + 1, 1) for p in range(HASHES)])
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
     """(key, node, short) for each tree: a hash of the prefix, and a byte of each value."""
     places = [
-        F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in _order(t)[:depth]])
+        F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in _order(t)[:DEPTH]])
         for t in range(TREES)
     ]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.lit(depth), p) for t, p in enumerate(places)])
-    short = F.concat(*[F.substring("signature", 4 * p + 1, 1) for p in range(HASHES)])
-    return nodes.select("node", "signature", short.alias("short"), F.posexplode(keys).alias("tree", "key"))
+    keys = F.array(*[F.xxhash64(F.lit(t), F.lit(DEPTH), p) for t, p in enumerate(places)])
+    return nodes.select("node", _short().alias("short"), F.explode(keys).alias("key")).select("key", "node", "short")
 
 
 def _agreement(threshold: float) -> int:
@@ -115,6 +121,18 @@ def _grown(label: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -
     return first
 
 
+def _alike(shorts: list[np.ndarray], least: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Links by agreement of signatures: in one block, or from one block to another."""
+    short, side = np.concatenate(shorts), np.repeat(np.arange(len(shorts)), [len(s) for s in shorts])
+
+    def linked(i: int, left: np.ndarray) -> np.ndarray:
+        if len(shorts) > 1:
+            left = left[side[left] != side[i]]
+        return left[(short[left] == short[i]).sum(axis=1) >= least]
+
+    return linked
+
+
 def _by_blocks(
     rows: DataFrame, payload: Callable[[pa.Table], object], linker: Callable[[list], Callable]
 ) -> DataFrame:
@@ -169,18 +187,8 @@ def _stars(regions: DataFrame, least: int) -> DataFrame:
     bounded_batches(regions.sparkSession)
 
     def pieces(nodes: list[bytes], short: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        left = np.arange(len(nodes))
-        while len(left) > 1:
-            front, piece = [left[0]], [left[0]]
-            left = left[1:]
-            while front and len(left):
-                near = (short[left] == short[front.pop()]).sum(axis=1) >= least
-                found = left[near]
-                front += found.tolist()
-                piece += found.tolist()
-                left = left[~near]
-            names = sorted(nodes[i] for i in piece)
-            yield from ((names[0], n) for n in names[1:])
+        first = _grown(np.arange(len(nodes)), _alike([short], least))
+        yield from ((nodes[f], nodes[i]) for i, f in enumerate(first) if i != f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, shorts = None, [], []
@@ -209,40 +217,36 @@ def _edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def _forest(nodes: DataFrame) -> Iterator[tuple[DataFrame, int]]:
-    """Level by level, the (key, node, short) rows of regions that are small enough there, and
-    after the last level those that are not, with the depth."""
-    open_rows = None
-    for depth in DEPTHS:
-        if open_rows is None:
-            rows = _keyed(nodes, depth)
-        else:  # only what is left of the level above
-            left = nodes.join(open_rows.select("node").distinct(), "node", "left_semi")
-            rows = _keyed(left, depth).join(open_rows, ["node", "tree"], "left_semi")
-        counts = rows.groupBy("key").agg(F.count("*").alias("in_region"))
-        found = rows.join(counts.where(f"in_region between 2 and {REGION}"), "key")
-        yield found.select("key", "node", "short"), depth
-        hot = staged(counts.where(F.col("in_region") > REGION).select("key"), "hot")
-        if hot.isEmpty():
-            return
-        open_rows = staged(rows.join(hot, "key").select("node", "tree", "key"), "open")
-    # equal signatures: one star for each, made from an aggregate
-    yield open_rows, 0
-
-
 def _clusters(nodes: DataFrame, threshold: float) -> DataFrame:
     least = _agreement(threshold)
-    edges = []
-    for rows, depth in _forest(nodes):
-        if depth:
-            found = _stars(rows.sortWithinPartitions("key"), least)
-        else:
-            first = rows.groupBy("key").agg(F.min("node").alias("a"))
-            found = rows.join(first, "key").where("a <> node").select("a", F.col("node").alias("b"))
-        edges.append(staged(found.distinct(), "stars"))
-    every = edges[0]
-    for more in edges[1:]:
-        every = every.unionByName(more)
+    rows = _keyed(nodes)
+    counts = rows.groupBy("key").agg(F.count("*").alias("in_region"))
+    found = rows.join(counts.where(f"in_region between 2 and {REGION}"), "key").select("key", "node", "short")
+    every = staged(_stars(found.sortWithinPartitions("key"), least).distinct(), "stars")
+    keys = staged(counts.where(F.col("in_region") > REGION).select("key"), "hot")
+    if not keys.isEmpty():
+        hot = staged(rows.join(keys, "key").select("key", "node"), "hot")
+        first = hot.groupBy("key").agg(F.min("node").alias("a"))
+        # hot regions of different trees hold much the same nodes: one search for all of them
+        group = staged(
+            connected_components(hot.join(first, "key").select("a", F.col("node").alias("b")))
+            .withColumnRenamed("component", "part"), "groups",
+        )
+        n = F.count("*") / REGION
+        sizes = group.groupBy("part").agg(
+            F.least(F.ceil(n), F.greatest(F.lit(BLOCKS), F.ceil(F.sqrt(n)))).cast("bigint").alias("blocks")
+        )
+        blocks = group.join(sizes, "part").join(nodes.select("node", _short().alias("short")), "node").select(
+            "part", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks", "node", "short"
+        )
+
+        def payload(table: pa.Table) -> np.ndarray:
+            shorts = b"".join(table.column("short").to_pylist())
+            return np.frombuffer(shorts, np.uint8).reshape(table.num_rows, HASHES)
+
+        every = every.unionByName(
+            staged(_by_blocks(blocks, payload, lambda shorts: _alike(shorts, least)), "stars")
+        )
     return connected_components(every)
 
 

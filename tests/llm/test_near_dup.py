@@ -108,8 +108,15 @@ def fringed(seed, copies, fringe):
     return rows
 
 
+def test_hot_regions_are_searched_whole(spark, monkeypatch):
+    rows = fringed(3, 60, 20) + [(20_000 + i, prose(i, 30)) for i in range(40)]
+    monkeypatch.setattr(near_dup, "REGION", 8)
+    assert result(frame(spark, rows)) == brute(rows, 5, 80, 100)
+
+
 def test_large_clusters_are_confirmed_over_all_pairs(spark, monkeypatch):
     rows = fringed(5, 60, 20)
+    monkeypatch.setattr(near_dup, "REGION", 8)
     monkeypatch.setattr(near_dup, "CLUSTER_SHINGLES", 3000)
     assert result(frame(spark, rows)) == brute(rows, 5, 80, 100)
 
