@@ -32,6 +32,8 @@ CLASSES = 32
 PERIOD = 1 << 16
 BANDS = 6
 BAND_SIZE = 6
+#: Ids of a band in one block.
+BAND_BLOCK = 256
 
 _PAD = "f"
 #: Agreement of unrelated texts by chance, about.
@@ -232,12 +234,13 @@ def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def close_pairs(
     fingerprints: DataFrame, texts: DataFrame, least: float = 0.7, most_edits: int = 200
 ) -> DataFrame:
-    """``a, b, edits``: documents within ``most_edits`` of their band's first one.
+    """``a, b, edits``: documents that share a band and lie within ``most_edits`` of each other.
 
     Bands are ``BANDS`` samples of ``BAND_SIZE`` positions from each walk in the last two octaves that a text fills,
-    so texts whose lengths fall on both sides of a power of two share one. A band links its
-    members to its least id, not to each other; links are verified by likeness of the whole
-    fingerprints and by the edit distance of the texts. ``fingerprints`` and ``texts`` hold
+    so texts whose lengths fall on both sides of a power of two share one. Equal texts are linked
+    to their least id, which stands for them; all pairs of a band are then verified by likeness of
+    the whole fingerprints and by the edit distance of the texts. A band of more than
+    ``BAND_BLOCK`` ids is dealt in blocks, each against every other. ``fingerprints`` and ``texts`` hold
     ``doc_id`` with ``fingerprint`` and ``text``; null ids and texts take no part.
     """
     rng = np.random.default_rng(7_200)
@@ -253,15 +256,31 @@ def close_pairs(
             for i, pick in enumerate(picks):
                 digits = F.concat(*[F.substring("fingerprint", begin + p + 1, 1) for p in pick])
                 bands.append(F.concat_ws(":", F.lit(walk), top - back, F.lit(i), digits))
-    banded = rows.select("doc_id", "fingerprint", F.explode(F.array(*bands)).alias("band"))
-    first = banded.groupBy("band").agg(F.min("doc_id").alias("a"))
-    links = banded.join(first, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    text = plain(texts, {"doc_id": "doc_id", "text": "text"}).where("text is not null")
+    named = rows.join(text.select("doc_id", F.md5("text").alias("md5")), "doc_id")
+    leads = named.groupBy("md5").agg(F.min("doc_id").alias("lead"))
+    copies = named.join(leads, "md5").where("lead <> doc_id").select(
+        F.col("lead").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("edits")
+    )
+    single = rows.join(leads.select(F.col("lead").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    banded = single.select("doc_id", F.explode(F.array(*bands)).alias("band"))
+    sizes = banded.groupBy("band").agg(F.ceil(F.count("*") / BAND_BLOCK).cast("bigint").alias("blocks"))
+    placed = banded.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id"
+    )
+    left = dealt.withColumnsRenamed({"doc_id": "a", "block": "block_a"})
+    right = dealt.withColumnsRenamed({"doc_id": "b", "block": "block_b"})
+    links = left.join(right, ["band", "low", "high"]).where(
+        "a < b and (low = high or block_a <> block_b)"
+    ).select("a", "b").distinct()
     like = F.udf(likeness, "double")
-    text = plain(texts, {"doc_id": "doc_id", "text": "text"})
     both = links
     for side in ("a", "b"):
         both = both.join(rows.select(F.col("doc_id").alias(side), F.col("fingerprint").alias(f"f{side}")), side)
+    both = both.where(like("fa", "fb") >= least).select("a", "b")
+    for side in ("a", "b"):
         both = both.join(text.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
-    return both.where(like("fa", "fb") >= least).select(
+    return both.select(
         "a", "b", F.levenshtein("ta", "tb", most_edits).alias("edits")
-    ).where("edits >= 0").distinct()
+    ).where("edits >= 0").unionByName(copies).distinct()

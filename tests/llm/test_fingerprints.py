@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
+from bindery.llm import fingerprints
 from bindery.llm.fingerprints import (
     CLASSES, OCTAVES, PERIOD, SAMPLES, WALKS, Embedder, close_pairs, edit_fingerprints, likeness,
 )
@@ -83,3 +85,13 @@ def test_bands_find_edited_copies(spark):
     df = frame(spark, rows)
     got = {(r["a"], r["b"]): r["edits"] for r in close_pairs(edit_fingerprints(df), df, most_edits=10).collect()}
     assert set(got) <= {(i, 100 + i) for i in range(10)} and len(got) >= 9 and set(got.values()) <= {1, 2}
+
+
+@pytest.mark.parametrize("block", [1, 256])
+def test_a_stranger_in_front_of_a_band_hides_no_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(fingerprints, "BAND_BLOCK", block)
+    text = prose(5, 60, 10**6)
+    texts = [(0, prose(6, 60, 10**6)), (1, text), (2, text[:200] + "z" + text[201:]), (3, text)]
+    prints = [(0, EMBED.of(text))] + [(i, EMBED.of(t)) for i, t in texts[1:]]
+    got = close_pairs(frame(spark, prints, "doc_id bigint, fingerprint string"), frame(spark, texts), most_edits=10)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 1), (1, 3, 0)]
