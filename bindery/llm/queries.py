@@ -7,7 +7,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import bpe, chat, decontaminate, fingerprints, near_dup, pii, sharding, token_counts, toxicity, training_order
+from bindery.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    fingerprints,
+    hard_negatives,
+    lexical,
+    near_dup,
+    pii,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    training_order,
+)
 from bindery.llm.shared import table
 from bindery.staging import shared_folder
 
@@ -161,6 +175,90 @@ SELECT doc_id, item_id, n_shared, n_item FROM shared JOIN sizes USING (item_id)
 WHERE 100 * n_shared >= 80 * n_item
 """
 
+
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes that repeated 400-byte strings cover."""
+    kept = suffix_dedup.drop_repeats(table(spark, folder, "documents"), length=400)
+    return kept.select(
+        "doc_id", "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, r: s + r["end"] - r["begin"]).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), lengths AS (
+  SELECT doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM lengths
+), asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT DISTINCT item_id, text FROM benchmark) b, unnest(regexp_extract_all(
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t(term)
+  GROUP BY ALL
+), held AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), terms AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term), whole
+), scored AS (
+  SELECT item_id, doc_id,
+         sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN terms USING (term) JOIN lengths USING (doc_id), whole
+  GROUP BY ALL
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every fiftieth vector."""
+    moved = table(spark, folder, "embeddings").select(
+        "vec_id", "embedding",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+    )
+    return hard_negatives.mine_hard_negatives(moved, every=50, positives=5, negatives=3, low=50, high=95)
+
+
+OP13_SQL = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -172,8 +270,13 @@ QUERIES = {
     "op7_training_order": op7_training_order,
     "op8_extendible_shards": op8_extendible_shards,
     "op10_decontamination": op10_decontamination,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE = {
+    "op12_lexical_search": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
     "op10_decontamination": OP10_SQL,
     "op2_chat_format": OP2_SQL,
     "op8_extendible_shards": OP8_SQL,
