@@ -2,18 +2,25 @@
 
 1. Every text becomes a set of hashed word shingles and a signature of ``HASHES`` minima. Rows
    with equal sets are one node from here on.
-2. The forest: ``TREES`` orders of the signature's values. Nodes whose first ``DEPTH`` values are
-   equal in one order form a region. Regions of one node, which are almost all, end there.
+2. The forest: ``TREES`` orders of the signature's values, in each of which nodes are sorted. Nodes
+   whose first ``DEPTH`` values are equal form a region, and all its nodes are candidates of
+   each other. Regions of one node, which are almost all, end there.
 3. In a region, nodes whose signatures agree in enough places hang together; a region passes on
-   a spanning star of each such piece, not its pairs. Regions of more than ``REGION`` nodes that
-   share nodes are searched together, in blocks: each on its own, then against every other.
-   Components of these are *clusters*: they hold every link of a region (the agreement asked for
+   a spanning star of each such piece, not its pairs. Neighbours in the sorted order, who have the
+   longest common prefixes, are compared first, and then only what is not joined yet.
+4. A region of more than ``REGION`` nodes is entered deeper: it falls into the regions of the least
+   depth at which they are small enough, found from the common prefixes of neighbours. These are
+   searched first. Then the way goes up again: pieces joined so far are compared with all others
+   that share regions with them, in blocks, and a piece larger than a block is never
+   compared with itself. So no link of a region is left out, and what a template has
+   in copies is joined in linear time.
+5. Components of these are *clusters*: they hold every link of a region (the agreement asked for
    lies five deviations below the threshold's), and more. Two texts with a similarity of 0.80
    have a region in common but for a chance of 1 in 97,000.
-4. Clusters get their whole texts, and all links inside one are confirmed on full sets. A
+6. Clusters get their whole texts, and all links inside one are confirmed on full sets. A
    cluster with more than ``CLUSTER_SHINGLES`` is confirmed in blocks of a quarter of that, each
    on its own and then against every other, with the same result.
-5. Components of the confirmed links, named by their least document.
+7. Components of the confirmed links, named by their least document.
 """
 
 from __future__ import annotations
@@ -24,11 +31,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.llm.components import connected_components
-from bindery.llm.shared import bounded_batches, documents, per_text
+from bindery.llm.shared import bounded_batches, documents, partitions, per_text
 from bindery.llm.shingles import WordHashes, minhash, permutations, shingle_hashes, space_words
 from bindery.operators.lookup import spread_join
 from bindery.staging import staged
@@ -76,19 +83,21 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return per_text(docs, make, "doc_id bigint, n bigint, node binary, signature binary, md5 binary")
 
 
-def _short() -> Column:
-    """A byte of each value of the signature."""
-    return F.concat(*[F.substring("signature", 4 * p + 1, 1) for p in range(HASHES)])
+def _ordered(tree: int) -> Column:
+    """A byte of each value of the signature, in the tree's order."""
+    return F.concat(*[F.substring("signature", 4 * p + 1, 1) for p in _order(tree)])
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """(key, node, short) for each tree: a hash of the prefix, and a byte of each value."""
-    places = [
-        F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in _order(t)[:DEPTH]])
+    """(key, node, path) for each tree: a hash of the prefix, and a byte of each value in order."""
+    trees = F.array(*[
+        F.struct(
+            F.xxhash64(F.lit(t), F.lit(DEPTH), F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in _order(t)[:DEPTH]])).alias("key"),
+            _ordered(t).alias("path"),
+        )
         for t in range(TREES)
-    ]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.lit(DEPTH), p) for t, p in enumerate(places)])
-    return nodes.select("node", _short().alias("short"), F.explode(keys).alias("key")).select("key", "node", "short")
+    ])
+    return nodes.select("node", F.explode(trees).alias("tree")).select("tree.key", "node", "tree.path")
 
 
 def _agreement(threshold: float) -> int:
@@ -136,17 +145,21 @@ def _alike(shorts: list[np.ndarray], least: int) -> Callable[[int, np.ndarray],
 def _by_blocks(
     rows: DataFrame, payload: Callable[[pa.Table], object], linker: Callable[[list], Callable]
 ) -> DataFrame:
-    """(a, b) star edges of the pieces of each part, from (part, block, blocks, node, ...) rows.
+    """(a, b) star edges of the pieces of each part, from (part, block, blocks, low, high, piece,
+    node, ...) rows; nodes with one ``piece`` are together already.
 
     A block is packed with its own pieces; each pair of blocks is one group of two packs, and
-    passes on an edge for every piece that grows there, so edges do not grow with the pairs.
+    passes on an edge for every piece that grows there, so edges do not grow with the pairs. Blocks
+    from ``low`` up to ``high`` hold parts of one piece with the row's and do not meet it.
     """
 
     def solve(table: pa.Table) -> pa.Table:
         nodes, own = table.column("node").to_pylist(), payload(table)
-        first = _grown(np.arange(len(nodes)), linker([own]))
+        codes: dict[bytes, int] = {}
+        label = np.array([codes.setdefault(p, i) for i, p in enumerate(table.column("piece").to_pylist())])
+        first = _grown(label, linker([own]))
         data = pickle.dumps((nodes, first, own), protocol=5)
-        keys = {c: table.column(c)[:1].combine_chunks() for c in ("part", "block", "blocks")}
+        keys = {c: table.column(c)[:1].combine_chunks() for c in ("part", "block", "blocks", "low", "high")}
         return pa.table({**keys, "size": pa.array([len(data)]), "data": pa.array([pa.compress(data, "zstd", asbytes=True)])})
 
     def opened(size: int, data: bytes) -> tuple:
@@ -170,10 +183,11 @@ def _by_blocks(
     bounded_batches(rows.sparkSession)
     kind = rows.schema["part"].dataType.simpleString()
     packs = staged(rows.groupBy("part", "block", "blocks").applyInArrow(
-        solve, f"part {kind}, block bigint, blocks bigint, size bigint, data binary"
+        solve, f"part {kind}, block bigint, blocks bigint, low bigint, high bigint, size bigint, data binary"
     ), "packs")
     blocks = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
-    pairs = packs.withColumn("other", F.explode(F.filter(blocks, lambda j: j != F.col("block")))).select(
+    others = F.filter(blocks, lambda j: (j != F.col("block")) & ((j < F.col("low")) | (j >= F.col("high"))))
+    pairs = packs.withColumn("other", F.explode(others)).select(
         "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "size", "data"
     )
     edges = "a binary, b binary"
@@ -182,30 +196,67 @@ def _by_blocks(
     )
 
 
-def _stars(regions: DataFrame, least: int) -> DataFrame:
-    """(a, b) star edges of the pieces of each region, from rows sorted by key."""
-    bounded_batches(regions.sparkSession)
+def _nearby(paths: np.ndarray, least: int) -> np.ndarray:
+    """Pieces of sorted paths (by their first places) that neighbours alone join."""
+    joined = (paths[1:] == paths[:-1]).sum(axis=1) >= least
+    return np.maximum.accumulate(np.where(np.r_[False, joined], 0, np.arange(len(paths))))
+
+
+def _searched(paths: np.ndarray, least: int) -> np.ndarray:
+    """For each of the sorted paths of a region the first place of its piece."""
+    return _grown(_nearby(paths, least), _alike([paths], least))
+
+
+def _deeper(paths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of the regions into which sorted paths fall: each at the least depth at
+    which it has no more than ``REGION`` nodes, or at the last."""
+    same = paths[1:] == paths[:-1]
+    common = np.where(same.all(axis=1), HASHES, np.argmin(same, axis=1))  # of each and the next
+    todo = [(0, len(paths), DEPTH)]
+    while todo:
+        begin, end, depth = todo.pop()
+        if end - begin <= REGION or depth >= HASHES:
+            yield begin, end
+            continue
+        cuts = begin + 1 + np.flatnonzero(common[begin:end - 1] <= depth)
+        edges = [begin, *cuts.tolist(), end]
+        todo += [(a, b, depth + 1) for a, b in zip(edges, edges[1:], strict=False)]
+
 
-    def pieces(nodes: list[bytes], short: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        first = _grown(np.arange(len(nodes)), _alike([short], least))
-        yield from ((nodes[f], nodes[i]) for i, f in enumerate(first) if i != f)
+def _stars(regions: DataFrame, least: int, deep: bool = False) -> DataFrame:
+    """(a, b) star edges of the pieces of each region, from rows sorted by key and path.
+
+    With ``deep`` the regions are large: they come in runs of up to 16 ``REGION`` nodes, neighbours in
+    the order, and each run is searched in its deeper regions and between neighbours.
+    """
+    bounded_batches(regions.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, shorts = None, [], []
+        key, nodes, read = None, [], []
 
         def done():
-            if len(nodes) > 1:
-                return list(pieces(nodes, np.frombuffer(b"".join(shorts), np.uint8).reshape(len(nodes), HASHES)))
-            return []
+            if len(nodes) < 2:
+                return []
+            paths = np.frombuffer(b"".join(read), np.uint8).reshape(len(nodes), HASHES)
+            if not deep:
+                first = _searched(paths, least)
+                return [(nodes[f], nodes[i]) for i, f in enumerate(first) if i != f]
+            first = _nearby(paths, least)
+            edges = [(nodes[f], nodes[i]) for i, f in enumerate(first) if i != f]
+            for begin, end in _deeper(paths):
+                if end - begin <= REGION:
+                    own = _searched(paths[begin:end], least)
+                    edges += [(nodes[begin + f], nodes[begin + i]) for i, f in enumerate(own) if i != f]
+            return edges
 
         for batch in batches:
             edges = []
-            for k, node, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
+            for k, node, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key or (deep and len(nodes) >= 16 * REGION):
                     edges += done()
-                    key, nodes, shorts = k, [], []
+                    key, nodes, read = k, [], []
                 nodes.append(node)
-                shorts.append(short)
+                read.append(path)
             yield _edge_batch(edges)
         yield _edge_batch(done())
 
@@ -221,33 +272,74 @@ def _clusters(nodes: DataFrame, threshold: float) -> DataFrame:
     least = _agreement(threshold)
     rows = _keyed(nodes)
     counts = rows.groupBy("key").agg(F.count("*").alias("in_region"))
-    found = rows.join(counts.where(f"in_region between 2 and {REGION}"), "key").select("key", "node", "short")
-    every = staged(_stars(found.sortWithinPartitions("key"), least).distinct(), "stars")
+    found = rows.join(counts.where(f"in_region between 2 and {REGION}"), "key").select("key", "node", "path")
+    every = staged(_stars(found.sortWithinPartitions("key", "path"), least).distinct(), "stars")
     keys = staged(counts.where(F.col("in_region") > REGION).select("key"), "hot")
     if not keys.isEmpty():
-        hot = staged(rows.join(keys, "key").select("key", "node"), "hot")
-        first = hot.groupBy("key").agg(F.min("node").alias("a"))
-        # hot regions of different trees hold much the same nodes: one search for all of them
-        group = staged(
-            connected_components(hot.join(first, "key").select("a", F.col("node").alias("b")))
-            .withColumnRenamed("component", "part"), "groups",
-        )
-        n = F.count("*") / REGION
-        sizes = group.groupBy("part").agg(
-            F.least(F.ceil(n), F.greatest(F.lit(BLOCKS), F.ceil(F.sqrt(n)))).cast("bigint").alias("blocks")
-        )
-        blocks = group.join(sizes, "part").join(nodes.select("node", _short().alias("short")), "node").select(
-            "part", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks", "node", "short"
-        )
+        every = every.unionByName(_hot_stars(nodes, rows.join(keys, "key").select("key", "node", "path"), least))
+    return connected_components(every)
 
-        def payload(table: pa.Table) -> np.ndarray:
-            shorts = b"".join(table.column("short").to_pylist())
-            return np.frombuffer(shorts, np.uint8).reshape(table.num_rows, HASHES)
 
-        every = every.unionByName(
-            staged(_by_blocks(blocks, payload, lambda shorts: _alike(shorts, least)), "stars")
-        )
-    return connected_components(every)
+def _hot_stars(nodes: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """(a, b) edges that join all pieces of regions of more than ``REGION`` nodes."""
+    hot = staged(rows, "hot")
+    spread = hot.repartitionByRange(partitions(hot.sparkSession), "key", "path")
+    deep = staged(_stars(spread.sortWithinPartitions("key", "path"), least, deep=True).distinct(), "deep")
+    # hot regions of different trees hold much the same nodes: one search for all of them
+    first = hot.groupBy("key").agg(F.min("node").alias("a"))
+    group = staged(
+        connected_components(hot.join(first, "key").select("a", F.col("node").alias("b")))
+        .withColumnRenamed("component", "part"), "groups",
+    )
+    joined = connected_components(deep).withColumnRenamed("component", "piece")
+    placed = staged(group.join(joined, "node", "left").select(
+        "node", "part", F.coalesce("piece", "node").alias("piece")
+    ), "pieces")
+    blocks = _blocks_of(placed).join(nodes.select("node", _ordered(0).alias("path")), "node")
+
+    def payload(table: pa.Table) -> np.ndarray:
+        paths = b"".join(table.column("path").to_pylist())
+        return np.frombuffer(paths, np.uint8).reshape(table.num_rows, HASHES)
+
+    up = staged(_by_blocks(blocks, payload, lambda paths: _alike(paths, least)), "stars")
+    return deep.unionByName(up)
+
+
+def _blocks_of(placed: DataFrame) -> DataFrame:
+    """(part, piece, node, block, blocks, low, high) for (part, piece, node) rows.
+
+    A piece with more nodes than a block has blocks of its own, from ``low`` up to ``high``; the
+    others of a part are dealt to the first blocks, each in one of them.
+    """
+    pieces = placed.groupBy("part", "piece").agg(F.count("*").alias("n"))
+    total = pieces.groupBy("part").agg(F.sum("n").alias("in_part")).withColumn("size", F.greatest(
+        F.lit(REGION), F.least(F.ceil(F.col("in_part") / BLOCKS), F.ceil(F.sqrt(F.col("in_part") * REGION))),
+    ).cast("bigint"))
+    sized = pieces.join(total.select("part", "size"), "part")
+    small = sized.where("n <= size").groupBy("part").agg(
+        F.ceil(F.sum("n") / F.first("size")).cast("bigint").alias("shared")
+    )
+    # the large pieces of a part are no more than its blocks
+    before = Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    own = sized.where("n > size").withColumn("own", F.ceil(F.col("n") / F.col("size")).cast("bigint"))
+    large = own.select(
+        "part", "piece", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("bigint").alias("before"),
+    )
+    counts = total.select("part").join(small, "part", "left").join(
+        own.groupBy("part").agg(F.sum("own").alias("in_large")), "part", "left"
+    ).select("part", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("in_large", F.lit(0)).alias("in_large"))
+    numbered = staged(large.join(counts, "part"), "large").select(
+        "part", "piece", (F.col("shared") + F.col("before")).alias("low"),
+        (F.col("shared") + F.col("before") + F.col("own")).alias("high"),
+    )
+    marked = placed.join(counts, "part").join(numbered, ["part", "piece"], "left")
+    block = F.when(
+        F.col("low").isNotNull(), F.col("low") + F.pmod(F.xxhash64("node"), F.col("high") - F.col("low"))
+    ).otherwise(F.pmod(F.xxhash64("piece"), F.col("shared")))
+    return marked.select(
+        "part", "piece", "node", block.alias("block"), (F.col("shared") + F.col("in_large")).alias("blocks"),
+        F.coalesce("low", F.lit(-1).cast("bigint")).alias("low"), F.coalesce("high", F.lit(-1).cast("bigint")).alias("high"),
+    )
 
 
 def _packed_sets(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,10 +428,14 @@ def near_components(
     if large.isEmpty():
         links = _confirmed(texts, width, num, den)
     else:
+        none = F.lit(-1).cast("bigint")
         split = texts.join(large, "part").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         links = _confirmed(texts.join(large, "part", "left_anti"), width, num, den).unionByName(
             _by_blocks(
-                split.select("part", "block", "blocks", "node", "text"),
+                split.select(
+                    "part", "block", "blocks", none.alias("low"), none.alias("high"), F.col("node").alias("piece"),
+                    "node", "text",
+                ),
                 lambda table: _packed_sets(table, width), lambda packs: _overlapping(packs, num, den),
             )
         )
