@@ -72,18 +72,22 @@ def item_sets(items: DataFrame, width: int, item_col: str = "item_id", text_col:
 
 @dataclass
 class _Carried:
-    """Items as arrays: sketch hashes in order with their items, and the full sets."""
+    """Items of one width and size class: sketch hashes in order with their items, and the full sets."""
 
     width: int
-    bounds: np.ndarray
+    bound: int
     sketch: np.ndarray
     owner: np.ndarray
     needed: np.ndarray
     ids: list
     full: list[np.ndarray]
 
+    def low(self, document: np.ndarray) -> np.ndarray:
+        """The document's sketch for the class: its hashes up to the class's bound."""
+        return document[:np.searchsorted(document, self.bound, "right")]
+
     def found(self, document: np.ndarray, num: int, den: int) -> list[tuple[int, int, int]]:
-        low = document[:np.searchsorted(document, self.bounds.max(), "right")]
+        low = self.low(document)
         left = np.searchsorted(self.sketch, low, "left")
         n = np.searchsorted(self.sketch, low, "right") - left
         if not n.any():
@@ -101,20 +105,17 @@ class _Carried:
 
 
 def _carried(rows: list, num: int, den: int) -> list[_Carried]:
-    """One index for each width that occurs; bounds by size class."""
+    """One index for each width and size class that occurs, with a bound of its own."""
     out = []
-    for width in sorted({r["width"] for r in rows}):
-        own = [r for r in rows if r["width"] == width]
+    for width, size_class in sorted({(r["width"], r["size_class"]) for r in rows}):
+        own = [r for r in rows if (r["width"], r["size_class"]) == (width, size_class)]
         full = [np.array(r["hashes"], np.int64) for r in own]
         sketches = [f[:SKETCH] for f in full]
-        classes: dict[int, int] = {}
-        for r, s in zip(own, sketches, strict=True):
-            classes[r["size_class"]] = max(classes.get(r["size_class"], s[-1]), s[-1])
         sketch = np.concatenate(sketches)
         owner = np.repeat(np.arange(len(own)), [len(s) for s in sketches])
         order = np.argsort(sketch, kind="stable")
         out.append(_Carried(
-            width, np.array(list(classes.values())), sketch[order], owner[order],
+            width, sketch.max(), sketch[order], owner[order],
             np.array([_needed(len(f), num, den) for f in full]), [r["item_id"] for r in own], full,
         ))
     return out
@@ -132,7 +133,8 @@ def _matcher(carried: list[_Carried], num: int, den: int) -> Callable[[], Callab
 
         def match(text: str) -> list[tuple[int, int, int]]:
             words = letter_words(text)
-            return [m for c in carried for m in c.found(_signed_shingles(words, c.width, known), num, den)]
+            sets = {w: _signed_shingles(words, w, known) for w in {c.width for c in carried}}
+            return [m for c in carried for m in c.found(sets[c.width], num, den)]
 
         return match
 
@@ -163,30 +165,36 @@ def _pairs_joined(docs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     numbered = staged(sets.withColumn("item", F.monotonically_increasing_id()), "items")
     sketches = numbered.select("item", "width", "size_class", F.explode(F.slice("hashes", 1, SKETCH)).alias("hash"))
     # at most 5 widths and 64 classes
-    bounds = [(r["width"], r["bound"]) for r in sketches.groupBy("width", "size_class").agg(
-        F.max("hash").alias("bound")).collect()]
-    widest = {w: max(b for v, b in bounds if v == w) for w, _ in bounds}
-
-    def hashed(limit: dict[int, int] | None):
-        def make():
-            known = WordHashes()
-
-            def step(columns):
-                rows = []
-                for key, text in zip(*columns, strict=True):
-                    words = letter_words(text or "")
-                    for w, bound in widest.items():
-                        h = _signed_shingles(words, w, known)
-                        rows.append((key, w, (h[h <= bound] if limit else h).tolist()))
-                return rows
-
-            return step
-
-        return make
-
-    low = per_text(docs, hashed(widest), "key binary, width int, hashes array<bigint>")
-    met = low.select("key", "width", F.explode("hashes").alias("hash")).distinct().join(
-        sketches, ["width", "hash"]
+    bounds = [tuple(r) for r in sketches.groupBy("width", "size_class").agg(F.max("hash")).collect()]
+    widths = sorted({w for w, _, _ in bounds})
+
+    def sketched():
+        known = WordHashes()
+
+        def step(columns):
+            rows = []
+            for key, text in zip(*columns, strict=True):
+                words = letter_words(text or "")
+                sets = {w: _signed_shingles(words, w, known) for w in widths}
+                rows += [(key, w, c, sets[w][:np.searchsorted(sets[w], bound, "right")].tolist()) for w, c, bound in bounds]
+            return rows
+
+        return step
+
+    def whole():
+        known = WordHashes()
+
+        def step(columns):
+            return [
+                (key, w, _signed_shingles(letter_words(text or ""), w, known).tolist())
+                for key, text in zip(*columns, strict=True) for w in widths
+            ]
+
+        return step
+
+    low = per_text(docs, sketched, "key binary, width int, size_class int, hashes array<bigint>")
+    met = low.select("key", "width", "size_class", F.explode("hashes").alias("hash")).distinct().join(
+        sketches, ["width", "size_class", "hash"]
     ).groupBy("key", "item").agg(F.count("*").alias("met"))
     items = numbered.select("item", "item_id", "width", "size", "hashes")
     t = num / den
@@ -197,7 +205,7 @@ def _pairs_joined(docs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
         "close",
     )
     texts = docs.join(close.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    full = per_text(texts, hashed(None), "key binary, width int, hashes array<bigint>")
+    full = per_text(texts, whole, "key binary, width int, hashes array<bigint>")
     shared = (
         close.join(items, "item").select("key", "item", "item_id", "width", "size", F.explode("hashes").alias("hash"))
         .join(full.select("key", "width", F.explode("hashes").alias("hash")), ["key", "width", "hash"])
@@ -237,8 +245,7 @@ def contaminated(
 
 def drop_contaminated(df: DataFrame, items: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``df`` whose ``text`` holds no item; cases as in ``contaminated``."""
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    key = F.unhex(F.md5(F.coalesce(df["text"], F.lit(""))))
     texts = df.select(key.alias("key"), "text")
     pairs = staged(_pairs(texts, items, width, num, den, MAX_CARRIED).select("key").distinct(), "pairs")
-    marked = df.withColumn("__key", key)
-    return marked.join(pairs.withColumnRenamed("key", "__key"), "__key", "left_anti").select(*df.columns)
+    return df.join(pairs, key == pairs["key"], "left_anti")

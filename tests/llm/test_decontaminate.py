@@ -1,6 +1,8 @@
 import re
 
+from bindery.llm import decontaminate
 from bindery.llm.decontaminate import contaminated, drop_contaminated
+from bindery.llm.shingles import WordHashes, letter_words
 
 from .cases import frame, no_documents, odd_documents, prose
 
@@ -57,7 +59,8 @@ def test_odd_rows(spark):
         got = {(r["doc_id"], r["item_id"]) for r in contaminated(df, items, max_carried=most).collect()}
         assert (16, 1) in got and (6, None) in got
     kept = drop_contaminated(df, items)
-    assert kept.columns == df.columns and kept.where("doc_id = 16").isEmpty() and not kept.where("doc_id = 5").isEmpty()
+    assert kept.columns == df.columns and kept.exceptAll(df).isEmpty() and kept.where("__key = 'x'").count() > 10
+    assert kept.where("doc_id = 16").isEmpty() and not kept.where("doc_id = 5").isEmpty()
 
 
 def test_no_rows(spark):
@@ -65,3 +68,16 @@ def test_no_rows(spark):
     assert contaminated(none, frame(spark, [(1, "a b")], ITEMS)).collect() == []
     assert contaminated(odd_documents(spark), items).collect() == []
     assert drop_contaminated(odd_documents(spark), items).count() == odd_documents(spark).count()
+
+
+def test_each_size_class_reads_up_to_its_own_bound():
+    """One short item must not make documents give all their hashes for the long ones."""
+    known = WordHashes()
+    sets = {size: decontaminate._signed_shingles(letter_words(prose(size, size + 4, 10**6)), 5, known) for size in (10, 900)}
+    rows = [
+        {"item_id": n, "width": 5, "size": n, "size_class": n.bit_length(), "hashes": s.tolist()} for n, s in sets.items()
+    ]
+    short, long = sorted(decontaminate._carried(rows, 80, 100), key=lambda c: len(c.full[0]))
+    document = decontaminate._signed_shingles(letter_words(prose(1, 5000, 10**6)), 5, known)
+    assert len(short.low(document)) > len(document) / 2
+    assert len(long.low(document)) < len(document) / 10
