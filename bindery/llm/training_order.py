@@ -198,7 +198,11 @@ def write_shards(
     sequences = tokens.mapInArrow(
         placed, "shard bigint, slot bigint, doc_id bigint, sequence bigint, n_tokens int, record binary"
     )
-    shards = sequences.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "slot").mapInArrow(
+    # even ranges of shards, known from the total: files in order hold slots in order, and
+    # nothing is sampled to find the ranges
+    n_shards, n = max(1, -(-total // shard_rows)), partitions(spark)
+    place = F.floor(F.col("shard") * n / n_shards).cast("int")
+    shards = sequences.repartitionById(n, place).sortWithinPartitions("shard", "slot").mapInArrow(
         laid_out,
         "shard bigint, first_slot bigint, n_rows int, stride int, doc_ids array<bigint>, "
         "sequences array<bigint>, n_tokens array<int>, payload binary",
