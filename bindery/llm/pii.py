@@ -17,9 +17,10 @@ import re
 from collections.abc import Callable
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bindery.llm.shared import documents, per_text
+from bindery.llm.shared import bounded_batches, documents, per_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "account", "secret")
@@ -211,27 +212,23 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def mask_pii(df: DataFrame) -> DataFrame:
-    """Documents with personal data replaced by ``[KIND]`` and ``n_chars`` counted anew.
+    """The rows of ``df`` with personal data in ``text`` replaced by ``[KIND]``.
 
-    ``df`` has the columns of documents; a null text stays null with its ``n_chars``.
+    ``n_chars``, where there is one, is counted anew; all other columns stay as they are. A null
+    text stays null with its ``n_chars``, an empty one empty.
     """
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    bounded_batches(df.sparkSession)
 
-    def make():
+    def run(batches):
         automaton = anchors()
-
-        def step(batch):
-            rows = []
-            for doc_id, text, lang, source, n_chars in zip(*batch, strict=True):
-                if text is not None:
-                    text = mask(text, find_spans(text, automaton))
-                    n_chars = len(text)
-                rows.append((doc_id, text, lang, source, n_chars))
-            return rows
-
-        return step
-
-    return per_text(
-        df.select(*columns), make,
-        "doc_id bigint, text string, lang string, source string, n_chars bigint",
-    )
+        for batch in batches:
+            texts = [None if t is None else mask(t, find_spans(t, automaton)) for t in batch.column("text").to_pylist()]
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if "n_chars" in columns:
+                old = columns["n_chars"].to_pylist()
+                sizes = [n if t is None else len(t) for t, n in zip(texts, old, strict=True)]
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)

@@ -23,10 +23,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.shared import documents, per_text, plain
+from bindery.llm.shared import bounded_batches, documents, per_text, plain
 from bindery.staging import staged
 
 #: Labelled documents the classifier is fitted on, at most (about: the sample is by hash).
@@ -305,12 +306,16 @@ def score_documents(
     )
 
 
-def drop_toxic(df: DataFrame, model: ToxicityModel, at: float = 0.5) -> DataFrame:
-    """Documents (rows with the columns of documents) that score below ``at``; a null text
-    stays. Cases as in ``score_documents``."""
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document that scores as much is toxic, for ``op1`` and for the pipeline.
+TOXIC_FROM = 0.3
 
-    def make():
+
+def drop_toxic(df: DataFrame, model: ToxicityModel, at: float = TOXIC_FROM) -> DataFrame:
+    """The rows of ``df`` whose ``text`` scores below ``at`` or has no toxic passage at all, with all
+    their columns; a null text stays. Cases as in ``score_documents``."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
         scores = WordScores(model)
 
         def kept(text: str | None) -> bool:
@@ -318,12 +323,7 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, at: float = 0.5) -> DataFram
             found = evidence_of(maximal_segments(x), len(x), model)
             return not found or model.probability(sum(v for _, _, v in found)) < at
 
-        def step(batch):
-            return [row for row in zip(*batch, strict=True) if kept(row[1])]
+        for batch in batches:
+            yield batch.filter(pa.array(map(kept, batch.column("text").to_pylist()), pa.bool_()))
 
-        return step
-
-    return per_text(
-        df.select(*columns), make,
-        "doc_id bigint, text string, lang string, source string, n_chars bigint",
-    )
+    return df.mapInArrow(run, df.schema)
