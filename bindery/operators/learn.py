@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.operators import perceptron
 from bindery.operators.metrics import (
     best_f1_threshold,
     class_weights,
@@ -25,9 +30,15 @@ from bindery.operators.metrics import (
     probe_report,
     score_curve,
 )
-from bindery.operators.order import take_hashed
+from bindery.operators.order import hash_int, take_hashed
+from bindery.operators.perceptron import Perceptron, fit_perceptron, save_perceptron  # noqa: F401
 from bindery.operators.split import stratified_folds
-from bindery.staging import staged
+from bindery.staging import ready_checkpoints, staged
+
+#: Memory for the statistics of the nodes that one pass over the rows splits.
+PASS_MEMORY_MB = 512
+#: Rows that one task of a forest's fit reads.
+ROWS_PER_TASK = 20_000
 
 
 def as_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
@@ -43,22 +54,114 @@ def with_balanced_weight(df: DataFrame, label: str = "label", out: str = "weight
     )
 
 
+def _grown_forest(
+    rows: DataFrame, trees: int, depth: int, seed: int, label: str, features: str, bootstrap: bool
+) -> Model:
+    """A forest on rows with a ``weight``.
+
+    The node that each row has reached is kept with the rows, so a pass ships the nodes it
+    splits and not the forest grown so far; every tenth pass the row states are checkpointed.
+    """
+    ready_checkpoints(rows.sparkSession)
+    return RandomForestClassifier(
+        labelCol=label, featuresCol=features, weightCol="weight", numTrees=trees, maxDepth=depth,
+        seed=seed, maxBins=32, bootstrap=bootstrap, cacheNodeIds=True, checkpointInterval=10,
+        maxMemoryInMB=PASS_MEMORY_MB,
+    ).fit(rows)
+
+
 def fit_forest(
     train: DataFrame, trees: int = 500, depth: int = 30, seed: int = 42,
     label: str = "label", features: str = "features",
 ) -> Model:
     """A random forest with balanced class weights. Spark limits trees to 30 levels."""
-    weighted = with_balanced_weight(train, label)
-    forest = RandomForestClassifier(
-        labelCol=label, featuresCol=features, weightCol="weight",
-        numTrees=trees, maxDepth=depth, seed=seed, maxBins=32, cacheNodeIds=False,
+    return _grown_forest(with_balanced_weight(train, label), trees, depth, seed, label, features, True)
+
+
+@dataclass(frozen=True)
+class BaggedForest:
+    """Forests fitted on rows with random weights, which tell later what each of them has seen."""
+
+    groups: list[Model]
+    key: list[str]
+    seed: int
+
+    def weight(self, group: int) -> Column:
+        return bag_weight(group, self.key, self.seed)
+
+
+def bag_weight(group: int, key: Sequence[str], seed: int) -> Column:
+    """How often a bootstrap sample draws a row (Poisson with mean 1), from a hash of group and key."""
+    u = hash_int(f"bag{seed}.{group}", *key) / float(2**32)
+    times, upto, term = F.lit(0), 0.0, math.exp(-1.0)
+    for n in range(1, 9):
+        upto += term
+        times = F.when(u >= F.lit(upto), n).otherwise(times)
+        term /= n
+    return times
+
+
+def fit_bagged_forest(
+    train: DataFrame, key: Sequence[str], trees: int = 500, depth: int = 30, groups: int = 10,
+    seed: int = 42, label: str = "label", features: str = "features",
+) -> BaggedForest:
+    """``groups`` forests of ``trees / groups`` trees, each on its own bootstrap sample of ``train``,
+    fitted side by side.
+
+    Rows weigh as often as they are drawn, times the balanced class weight; those drawn never
+    are left out of the group's fit. ``key`` identifies a row; rows with one key are drawn together.
+    """
+    n = train.count()
+    # every task sends statistics of all nodes, so the rows of one task should be many
+    parts = max(1, -(-n // ROWS_PER_TASK))
+    balanced = staged(with_balanced_weight(train, label, "_class").coalesce(parts), "balanced")
+    sizes = [trees // groups + (1 if g < trees % groups else 0) for g in range(groups)]
+
+    def group(g: int) -> Model:
+        drawn = balanced.withColumn("weight", F.col("_class") * bag_weight(g, key, seed)).where("weight > 0")
+        return _grown_forest(drawn.coalesce(parts), sizes[g], depth, seed + g, label, features, False)
+
+    models = side_by_side(train.sparkSession, [partial(group, g) for g in range(groups)])
+    return BaggedForest(models, list(key), seed)
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
+    """Results of functions that run Spark jobs, each in a thread that has the caller's job
+    properties. An error of any of them is raised once all have ended."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+def _group_scores(model: BaggedForest, df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One column per group with its probability of class 1."""
+    names = [f"_g{g}" for g in range(len(model.groups))]
+    done = df
+    for name, forest in zip(names, model.groups, strict=True):
+        kept = done.columns
+        done = forest.transform(done).withColumn(name, vector_to_array("probability")[1]).select(*kept, name)
+    return done, names
+
+
+def both_scores(model: BaggedForest, df: DataFrame) -> DataFrame:
+    """Rows with ``score``, the mean of all groups, and ``unseen``, the mean of the groups that never
+    drew the row (all of them, for a row that was not fitted on); null if every group drew it."""
+    done, names = _group_scores(model, df)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    apart = F.array(*[F.when(model.weight(g) == 0, F.col(n)) for g, n in enumerate(names)])
+    done = done.withColumn("_unseen", F.filter(apart, lambda x: x.isNotNull()))
+    return done.select(
+        *df.columns, mean(F.array(*names)).alias("score"),
+        F.when(F.size("_unseen") > 0, mean(F.col("_unseen"))).alias("unseen"),
     )
-    return forest.fit(weighted)
 
 
-def scored(model: Model, df: DataFrame, out: str = "score") -> DataFrame:
+def scored(model: Model | BaggedForest | Perceptron, df: DataFrame, out: str = "score") -> DataFrame:
     """Rows with the model's probability of class 1."""
     keep = df.columns
+    if isinstance(model, Perceptron):
+        return perceptron.scored(model, df, out)
+    if isinstance(model, BaggedForest):
+        return both_scores(model, df).withColumnRenamed("score", out).select(*keep, out)
     done = model.transform(df).withColumn(out, vector_to_array("probability")[1])
     return done.select(*keep, out)
 
@@ -79,60 +182,11 @@ def cross_scored(
     return whole
 
 
-def oversampled(df: DataFrame, label: str = "label") -> DataFrame:
-    """The smaller class repeated so that both weigh the same.
-
-    Every row of it comes ``floor(ratio)`` times, and once more where its hash falls below
-    the ratio's remainder.
-    """
-    n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
-    if not n_pos or not n_neg or n_pos == n_neg:
-        return df
-    ratio = max(n_pos, n_neg) / min(n_pos, n_neg)
-    whole = int(ratio)
-    more = F.pmod(F.xxhash64(*[c for c in df.columns if c != label]), F.lit(1_000_000)) < int(
-        (ratio - whole) * 1_000_000
-    )
-    times = F.when(F.col(label) == F.lit(int(n_pos < n_neg)), F.lit(whole) + more.cast("int")).otherwise(1)
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
-
-
 def bounded_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """At most ``n`` rows, by seeded order: a bound on what a model is fitted on."""
     return take_hashed(df, n, key, seed)
 
 
-def fit_perceptron(
-    train: DataFrame, val: DataFrame, hidden: Sequence[int] = (256, 128, 64),
-    rounds: int = 20, steps: int = 10, patience: int = 3, seed: int = 42, label: str = "label",
-) -> tuple[Model, float]:
-    """A multi-layer perceptron, stopped when validation AUROC no longer rises.
-
-    Training goes on from the last weights ``steps`` iterations at a time; the weights of
-    the best round are kept. Returns the model and its validation AUROC.
-    """
-    balanced = staged(oversampled(train, label), "balanced")
-    dim = balanced.select(F.size(vector_to_array("features"))).first()[0]
-    best, best_auc, waited, weights = None, -1.0, 0, None
-    for _ in range(rounds):
-        net = MultilayerPerceptronClassifier(
-            labelCol=label, layers=[dim, *hidden, 2], maxIter=steps, seed=seed, blockSize=256
-        )
-        if weights is not None:
-            net.setInitialWeights(weights)
-        model = net.fit(balanced)
-        weights = model.weights
-        auc = overall_metrics(scored(model, val).select(label, "score"), label).first()["auroc"]
-        if auc > best_auc + 1e-4:
-            best, best_auc, waited = model, auc, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    return best, best_auc
-
-
 def linear_probe(
     df: DataFrame, label: str, vector: str, key: Sequence[str], k: int = 5,
     layer: str | None = None, seed: int = 42, max_iter: int = 1000,
@@ -204,5 +258,13 @@ def f1_threshold(df: DataFrame, label: str = "label") -> float:
     return best_f1_threshold(score_curve(df, (), label)).first()["threshold"]
 
 
-def save_model(model: Model | PipelineModel, path: str) -> None:
+def save_model(model: Model | PipelineModel | BaggedForest | Perceptron, path: str, spark: SparkSession | None = None) -> None:
+    """The model in a folder; a perceptron needs the session to write its tables."""
+    if isinstance(model, Perceptron):
+        save_perceptron(spark, model, path.rstrip("/"))
+        return
+    if isinstance(model, BaggedForest):
+        for g, forest in enumerate(model.groups):
+            save_model(forest, f"{path.rstrip('/')}/group{g}", spark)
+        return
     model.write().overwrite().save(path)

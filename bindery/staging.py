@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def staged(df: DataFrame, label: str = "table") -> DataFrame:
-    """``df`` written once as Parquet and read back.
+def ready_checkpoints(spark: SparkSession) -> None:
+    """Make sure that Spark's own checkpoints go to the shared folder too."""
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def staged(df: DataFrame, label: str = "table", by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written once as Parquet, in a folder for each value of ``by``, and read back.
 
     The result has no lineage behind it, knows its size (so joins can be planned on
     it) and still prunes columns. Use it for a table that later steps read twice.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

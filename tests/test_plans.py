@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from bindery.operators import learn as ln
+from bindery.operators import perceptron
 from bindery.operators.features import sparse_pair_features
+from bindery.operators.perceptron import Perceptron, _summed
 from bindery.plans import experiments as ex
 from bindery.plans.dataset import build_dataset, build_paired
 from catalog import clean as qc
@@ -69,7 +72,7 @@ def learnable(spark):
 
 
 def test_grid(learnable):
-    run = lambda pairs, e: ex.run_forest(pairs, e, {}, trees=8, depth=4, folds=2)
+    run = lambda pairs, e: ex.run_forest(pairs, e, {}, trees=8, depth=4, groups=4)
     grid = [ex.Experiment("onehot_meta", categorical="one_hot"), ex.Experiment("lost", "esm/cdr3")]
     ledger = ex.run_grid(learnable, grid, run)
     row = ledger.first()
@@ -79,9 +82,46 @@ def test_grid(learnable):
     assert again.count() == 1
 
 
-def test_perceptron(learnable):
-    row = ex.run_perceptron(learnable, ex.Experiment("onehot"), {}, hidden=(8,), rounds=2)
+def test_perceptron(learnable, tmp_path, spark):
+    row = ex.run_perceptron(learnable, ex.Experiment("onehot"), {}, hidden=(8,), rounds=12, rate=0.02, out=str(tmp_path))
     assert row["auroc"] > 0.9 and 0 <= row["threshold"] <= 1
+    history = spark.read.parquet(f"{tmp_path}/onehot/model/history").orderBy("round").collect()
+    assert 3 <= len(history) <= 12 and history[-1]["loss"] < history[0]["loss"]
+    assert max(r["val_auroc"] for r in history) == pytest.approx(row["best_val_auroc"], abs=1e-3)
+    shapes = spark.read.parquet(f"{tmp_path}/onehot/model/weights").orderBy("layer", "part").select("shape").collect()
+    assert [r[0] for r in shapes] == [[990, 8], [8], [8, 1], [1]]
+
+
+def test_gradient_sums_are_the_slope_of_the_loss(spark):
+    rng = np.random.default_rng(0)
+    model = Perceptron.start([6, 5, 3, 1], 1)
+    model = Perceptron([(w.astype(np.float64), b + 0.1 * rng.random(len(b))) for w, b in model.layers])
+    x, y = rng.random((40, 6)).astype(np.float32), (rng.random(40) < 0.3).astype(np.float32)
+    sums, _ = model.gradients(x, y, 2.5)
+    for k, array in enumerate(model.arrays()):
+        for at in [tuple(rng.integers(0, s) for s in array.shape) for _ in range(4)]:
+            ends = []
+            for step in (1e-4, -1e-4):
+                array[at] += step
+                ends.append(model.gradients(x, y, 2.5)[1])
+                array[at] -= step
+            assert sums[k][at] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=1e-2, abs=1e-2)
+    rows = [(int(b), [i for i in range(6)], [float(v) for v in a]) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "label int, places array<int>, values array<float>").repartition(7)
+    spread, loss, n = _summed(df, model, 2.5)
+    assert n == 40 and loss == pytest.approx(model.gradients(x, y, 2.5)[1], rel=1e-5)
+    assert all(np.allclose(a, b, rtol=1e-4, atol=1e-4) for a, b in zip(spread, sums))
+
+
+def test_positives_weigh_as_much_as_negatives(learnable, monkeypatch):
+    asked = []
+    plain = perceptron._summed
+    monkeypatch.setattr(perceptron, "_summed", lambda rows, model, w: asked.append(w) or plain(rows, model, w))
+    rows = sparse_pair_features(learnable)
+    train = rows.filter("split = 'train'")
+    n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    model, _ = ln.fit_perceptron(train, rows.filter("split = 'val'"), (4,), rounds=1, batches=2)
+    assert set(asked) == {n[0] / n[1]} and len(model.history) == 1
 
 
 def test_looked_up_vectors(learnable, spark):
@@ -95,11 +135,38 @@ def test_looked_up_vectors(learnable, spark):
 
 def test_calibration(learnable):
     rows = sparse_pair_features(learnable)
-    report, summary = ex.calibrate(rows, lambda r: ln.fit_forest(r, trees=5, depth=3), folds=2)
+    report, summary = ex.calibrate(rows, lambda r: ln.fit_bagged_forest(r, ex.KEY, 6, 3, 3), folds=2)
     got = {r["rule"]: r["f1"] for r in report.collect()}
-    assert set(got) == {"default_0.5", "val_optimal", "held_out_optimal", "test_oracle"}
+    assert set(got) == {"default_0.5", "val_optimal", "oob_optimal", "held_out_optimal", "test_oracle"}
     assert got["test_oracle"] == max(got.values())
     assert 0 <= summary.first()["median"] <= summary.first()["p99"] <= 1
+    plain, _ = ex.calibrate(rows, lambda r: ln.fit_forest(r, trees=4, depth=2), folds=None)
+    assert {r["rule"] for r in plain.collect()} == {"default_0.5", "val_optimal", "test_oracle"}
+
+
+def test_no_row_is_scored_by_a_group_that_drew_it(learnable, monkeypatch):
+    train = sparse_pair_features(learnable).withColumn("n", F.xxhash64(*ex.KEY))
+    monkeypatch.setattr(ln, "_grown_forest", lambda rows, *a: {r["n"] for r in rows.collect()})
+    model = ln.fit_bagged_forest(train, ex.KEY, groups=5)
+    fitted = model.groups
+    drawn = [{r["n"] for r in train.where(model.weight(g) > 0).collect()} for g in range(5)]
+    assert drawn == fitted and all(0.55 * 240 < len(d) < 0.72 * 240 for d in drawn)
+    assert sum(train.agg(F.sum(model.weight(g))).first()[0] for g in range(5)) == pytest.approx(5 * 240, rel=0.12)
+    # each group scores its own number, so the mean tells which groups took part
+    told = lambda m, df: (df.withColumns({f"_g{g}": F.lit(float(2**g)) for g in range(5)}), [f"_g{g}" for g in range(5)])
+    monkeypatch.setattr(ln, "_group_scores", told)
+    for r in ln.both_scores(model, train).collect():
+        unseen = [2**g for g in range(5) if r["n"] not in fitted[g]]
+        assert r["unseen"] == (sum(unseen) / len(unseen) if unseen else None) and r["score"] == 31 / 5
+
+
+def test_an_error_in_one_of_the_fits_is_raised(spark):
+    def bad():
+        raise ValueError("inside a fit")
+
+    assert ln.side_by_side(spark, [lambda n=n: spark.range(n).count() for n in (3, 5)]) == [3, 5]
+    with pytest.raises(ValueError, match="inside a fit"):
+        ln.side_by_side(spark, [lambda: 1, bad])
 
 
 def test_probe_kmeans_pca(spark):
@@ -115,22 +182,11 @@ def test_probe_kmeans_pca(spark):
     assert coords.count() == 90 and coords.agg(F.stddev("x")).first()[0] > coords.agg(F.stddev("y")).first()[0]
 
 
-def test_oversampling(learnable):
-    counts = {r["label"]: r["count"] for r in ln.oversampled(learnable).groupBy("label").count().collect()}
-    assert counts == {0: 160, 1: 160}
+def test_balanced_weights(learnable):
     weighted = ln.with_balanced_weight(learnable).groupBy("label").agg(F.sum("weight")).collect()
     assert {round(r[1], 6) for r in weighted} == {120.0}
 
 
-@pytest.mark.parametrize(("n_pos", "n_neg"), [(90, 10), (10, 90), (40, 60), (5, 5), (3, 0)])
-def test_both_classes_weigh_the_same(spark, n_pos, n_neg):
-    rows = [(i, int(i < n_pos)) for i in range(n_pos + n_neg)]
-    df = spark.createDataFrame(rows, "n int, label int")
-    counts = {r["label"]: r["count"] for r in ln.oversampled(df).groupBy("label").count().collect()}
-    more = max(n_pos, n_neg)
-    assert all(abs(c - more) <= 0.1 * more + 8 for c in counts.values())
-
-
 def test_errors_in_a_run_are_not_swallowed(spark, learnable):
     def broken(pairs, experiment):
         raise ValueError("inside the fit")
