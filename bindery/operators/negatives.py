@@ -25,7 +25,7 @@ from bindery.constants import (
     SPLIT_COLUMN,
 )
 from bindery.functions.text import deletions
-from bindery.operators.order import hash_int, hashed_rank, nth_unlisted, take_hashed
+from bindery.operators.order import distinct_draws, hash_int, hashed_rank, nth_unlisted, take_hashed
 from bindery.staging import staged
 
 RECEPTOR_KEY = ["cdr3", "v_gene", "j_gene"]
@@ -149,11 +149,9 @@ def swap_receptors(
 ) -> DataFrame:
     """Draw receptors for every pair and keep each (receptor, peptide) once.
 
-    ``draws`` gives the number wanted per group. A pair takes consecutive entries of its
-    peptide's pool, starting where the pair before it ended and, for the first pair, at a
-    hashed entry; a pair never draws one receptor twice and no receptor repeats for a
-    peptide before all were used. When the pool is smaller than the number wanted, all
-    of it is taken. Of repeated draws the first pair's context stays.
+    ``draws`` gives the number wanted per group. Every pair draws that many distinct entries of its
+    peptide's pool, or all of a smaller pool, independently of all other pairs: so pairs of
+    one peptide may draw the same receptor. Of such repeats the first pair's context stays.
     """
     numbered = staged(number_pairs(pairs, by, seed, min_pairs), "numbered")
     donors = staged(number_donors(numbered, by, key, seed), "donors")
@@ -162,17 +160,11 @@ def swap_receptors(
 
     wanted = F.create_map(*[F.lit(x) for item in draws.items() for x in item])[F.col("grp")]
     pools = pools.withColumn("k", F.least(wanted.cast("bigint"), F.col("pool")))
-    pools = pools.filter(F.col("k") > 0)
-    start = F.pmod(hash_int(seed, "peptide", "grp"), F.col("pool")).alias("start")
-    pools = pools.select(*by, "peptide", "grp", "n_donors", "pool", "k", start)
+    pools = pools.filter(F.col("k") > 0).select(*by, "peptide", "grp", "n_donors", "pool", "k")
 
-    # A draw whose number reaches the pool size repeats an earlier one: never made.
     asking = numbered.select(*by, "peptide", "i", *context).join(pools, [*by, "peptide"])
-    first = (F.col("i") - 1) * F.col("k")
-    last = F.least(first + F.col("k"), F.col("pool")) - 1
-    asking = asking.filter(first < F.col("pool"))
-    asking = asking.select("*", F.explode(F.sequence(first, last)).alias("turn"))
-    asking = asking.withColumn("want", F.pmod(F.col("start") + F.col("turn"), F.col("pool")))
+    chosen = distinct_draws(F.col("k"), F.col("pool"), seed, *by, "peptide", "grp", "i")
+    asking = asking.withColumn("want", F.explode(chosen))
     asking = asking.select(*by, "peptide", "grp", "i", *context, "n_donors", "want")
 
     placed = nth_unlisted(asking, left_out, [*by, "peptide", "grp"], "n_donors", "want", "pos")

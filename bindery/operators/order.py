@@ -34,6 +34,23 @@ def hash_int(seed: object, *cols: str | Column) -> Column:
     return F.conv(F.substring(hash_text(seed, *cols), 1, 8), 16, 10).cast("bigint")
 
 
+def distinct_draws(k: Column, pool: Column, seed: object, *key: str | Column) -> Column:
+    """``k`` distinct numbers from 0..pool-1 (``k <= pool``) as an array, every set equally likely.
+
+    Floyd's rule: draw t (from 0) is a number up to ``pool - k + t``, and that bound itself if the
+    number is there already. The hash of seed, key and t decides, so rows with unlike keys
+    draw independently, in exactly ``k`` steps.
+    """
+
+    def one(taken: Column, t: Column) -> Column:
+        top = pool - k + t
+        draw = F.pmod(F.conv(F.substring(hash_text(seed, *key, t), 1, 15), 16, 10).cast("bigint"), top + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, draw), top).otherwise(draw))
+
+    turns = F.when(k > 0, F.sequence(F.lit(0).cast("bigint"), k - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(turns, F.array().cast("array<bigint>"), one)
+
+
 def hash_digits(df: DataFrame) -> int:
     """Leading hash digits that cut a table into 16 cells or more per shuffle partition."""
     wanted = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

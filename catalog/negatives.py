@@ -13,6 +13,21 @@ RECEPTOR = "cdr3, v_gene, j_gene"
 CONTEXT = "tcr_chain, mhc_a, mhc_b, mhc_class"
 
 
+def _draws(seed_key: str, most: int, rest: str) -> str:
+    """Columns c0.. of the numbers drawn by one pair, and ``e`` as each of them: number t is
+    a hash up to m - k + t, or that bound where the hash was drawn before."""
+    lines = []
+    for t in range(most):
+        draw = f"('0x' || substr(md5(concat_ws('|', '42', {seed_key}, {t})), 1, 15))::BIGINT % greatest(1, m - k + {t + 1})"
+        before = ", ".join(f"c{s}" for s in range(t))
+        lines.append(f"h{t} AS MATERIALIZED (SELECT *, {draw} AS d FROM {'base' if not t else f'g{t - 1}'})")
+        taken = f"CASE WHEN d IN ({before}) THEN m - k + {t} ELSE d END" if t else "d"
+        lines.append(f"g{t} AS MATERIALIZED (SELECT * EXCLUDE (d), {taken} AS c{t} FROM h{t})")
+    chosen = ", ".join(f"c{t}" for t in range(most))
+    return f"""{', '.join(lines)},
+    asked AS (SELECT {rest}, unnest(list_slice([{chosen}], 1, k)) AS e FROM g{most - 1})"""
+
+
 def drawn_sql(by: str = "", source: str = "positives", cap: bool = True) -> str:
     """The brute-force statement of the draw: every pool written out and ranked.
 
@@ -50,11 +65,10 @@ def drawn_sql(by: str = "", source: str = "positives", cap: bool = True) -> str:
     ranked AS (SELECT pool.*, row_number() OVER (PARTITION BY {by} peptide, grp ORDER BY pos) - 1 AS e,
                       count(*) OVER (PARTITION BY {by} peptide, grp) AS m
                FROM pool JOIN donors USING ({by} grp, {RECEPTOR})),
-    pools AS (SELECT DISTINCT {by} peptide, grp, m, least(CASE grp WHEN 'test' THEN 3 ELSE 2 END, m) AS k,
-                     ('0x' || substr(md5(concat_ws('|', '42', peptide, grp)), 1, 8))::BIGINT % m AS start
+    pools AS (SELECT DISTINCT {by} peptide, grp, m, least(CASE grp WHEN 'test' THEN 3 ELSE 2 END, m) AS k
               FROM ranked),
-    asked AS (SELECT {by} peptide, p.grp, n.i, {CONTEXT}, (start + (n.i - 1) * k + j) % m AS e
-              FROM numbered n JOIN pools p {on}, (SELECT unnest(range(3)) AS j) WHERE j < k),
+    base AS (SELECT {by} peptide, p.grp, n.i, {CONTEXT}, m, k FROM numbered n JOIN pools p {on}),
+    {_draws(f"{by} peptide, grp, i", 3, f"{by} peptide, grp, i, {CONTEXT}")},
     kept AS (SELECT {by} {RECEPTOR}, peptide, {CONTEXT} FROM
                (SELECT *, row_number() OVER (PARTITION BY {by} {RECEPTOR}, peptide
                           ORDER BY i, CASE WHEN grp = 'test' THEN 0 ELSE 1 END) AS first
@@ -164,11 +178,9 @@ PAIRED_SQL = f"""
     ranked AS (SELECT pool.*, row_number() OVER (PARTITION BY peptide ORDER BY pos) - 1 AS e,
                       count(*) OVER (PARTITION BY peptide) AS m
                FROM pool JOIN donors USING ({_PAIRED_KEY})),
-    pools AS (SELECT DISTINCT peptide, m, least(5, m) AS k,
-                     ('0x' || substr(md5(concat_ws('|', '42', peptide, 'test')), 1, 8))::BIGINT % m AS start
-              FROM ranked),
-    asked AS (SELECT peptide, n.i, hla, (start + (n.i - 1) * k + j) % m AS e
-              FROM numbered n JOIN pools p USING (peptide), (SELECT unnest(range(5)) AS j) WHERE j < k),
+    pools AS (SELECT DISTINCT peptide, m, least(5, m) AS k FROM ranked),
+    base AS (SELECT peptide, n.i, hla, m, k FROM numbered n JOIN pools p USING (peptide)),
+    {_draws("peptide, 'test', i", 5, "peptide, i, hla")},
     kept AS (SELECT {_PAIRED_KEY}, peptide, hla FROM
                (SELECT *, row_number() OVER (PARTITION BY {_PAIRED_KEY}, peptide ORDER BY i) AS first
                 FROM asked JOIN ranked USING (peptide, e)) x WHERE first = 1),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bindery.operators import negatives as neg
+from bindery.operators.order import distinct_draws
 
 COLUMNS = "cdr3 string, tcr_chain string, v_gene string, j_gene string, peptide string, mhc_a string, mhc_b string, mhc_class string, source string"
 
@@ -81,7 +82,7 @@ def test_pool_sizes(data):
     assert got == {k: len(v) for k, v in want.items()}
 
 
-def test_negatives_come_from_the_pools_and_none_is_left_unused(data):
+def test_negatives_come_from_the_pools(data):
     rows, df = data
     count, known, want = pools(rows)
     drawn = neg.negatives(df, max_ratio=None).collect()
@@ -95,12 +96,31 @@ def test_negatives_come_from_the_pools_and_none_is_left_unused(data):
     for a in count:
         t, lo = want[a, "test"], want[a, "left-out"]
         assert by_peptide.get(a, set()) <= t | lo
-        # Everything is used before anything repeats, in each group.
-        least = max(min(len(t), 3 * count[a]), min(len(lo), 2 * count[a]))
+        # One pair draws distinct receptors; several may draw the same.
+        least = max(min(len(t), 3), min(len(lo), 2))
         most = min(len(t), 3 * count[a]) + min(len(lo), 2 * count[a])
         assert least <= len(by_peptide.get(a, set())) <= most
 
 
+def test_draws_are_distinct_within_a_pair_and_even_over_the_pool(spark):
+    df = spark.range(4000).selectExpr("id", "cast(id % 7 as bigint) as k").where("k <= 6")
+    sets = df.select("k", distinct_draws(F.col("k"), F.lit(6).cast("bigint"), 1, "id").alias("d")).collect()
+    assert all(len(set(r["d"])) == r["k"] and set(r["d"]) <= set(range(6)) for r in sets)
+    pairs = Counter(tuple(sorted(r["d"])) for r in sets if r["k"] == 2)
+    assert len(pairs) == 15 and max(pairs.values()) < 2.2 * min(pairs.values())
+
+
+def test_repeats_are_as_many_as_independent_draws_make(spark):
+    """n pairs that draw k of P leave P (1 - (1 - k / P)^n) receptors of a pool."""
+    far = [(f"CASS{i}F", "TRB", "V1", "J1", "WWWWWWWWW", "A", "", "MHCI", "S") for i in range(400)]
+    near = [(f"CATT{i}F", "TRB", "V1", "J1", "AAAAAAAAA", "A", "", "MHCI", "S") for i in range(300)]
+    drawn = neg.negatives(spark.createDataFrame(far + near, COLUMNS), max_ratio=None)
+    got = {r["peptide"]: r["count"] for r in drawn.groupBy("peptide").count().collect()}
+    for peptide, pool, n in (("AAAAAAAAA", 400, 300), ("WWWWWWWWW", 300, 400)):
+        mean = pool * (1 - (1 - 3 / pool) ** n)
+        assert abs(got[peptide] - mean) < 5 * (pool * (1 - 3 / pool) ** n) ** 0.5 + 1
+
+
 def test_cap(data):
     rows, df = data
     assert neg.negatives(df, max_ratio=1).count() == len(rows)
