@@ -23,8 +23,8 @@ def stitch_full_sequence(
 
     ``v_ref(v_gene, body, leader, anchor)`` ends before the CDR3 and names the residues a
     CDR3 of that gene begins with; ``j_ref(j_gene, body, terminal)`` begins after the CDR3
-    and names the residue it ends with, ``F`` where it names none. A J gene without an allele
-    is looked up as its first one. A missing leading ``C`` is always put back. Then the first
+    and names the residue it ends with, ``F`` where it names none. A J gene is looked up by its
+    symbol as it is, and without an allele also as its first one. A missing leading ``C`` is always put back. Then the first
     attempt that fits is taken, in this order: as is; with the terminal added; without the
     anchor check; with the terminal and without the check; and the same four without the
     leader for genes that have none. A result with a stop (``*``) is void.
@@ -37,10 +37,17 @@ def stitch_full_sequence(
         F.col("j_gene").alias("_j_gene"), F.col("body").alias("_j"),
         F.coalesce("terminal", F.lit(DEFAULT_TERMINAL)).alias("_t"),
     )
-    allele = F.when(F.col("j_gene").contains("*"), F.col("j_gene")).otherwise(
-        F.concat("j_gene", F.lit("*01"))
+    # a first allele also goes by the bare symbol, unless that has a row of its own
+    bare = F.when(F.col("_j_gene").endswith("*01"), F.expr("left(_j_gene, length(_j_gene) - 3)"))
+    names = F.array(
+        F.struct(F.col("_j_gene").alias("name"), F.lit(0).alias("turn")),
+        F.struct(bare.alias("name"), F.lit(1).alias("turn")),
     )
-    parts = pairs.join(v, "v_gene", "left").join(j, F.col("_j_gene") == allele, "left")
+    named = j.select(F.explode(names).alias("_n"), "_j", "_t").where("_n.name is not null")
+    turns = named.groupBy(F.col("_n.name").alias("_j_gene")).agg(F.min("_n.turn").alias("_turn"))
+    j = named.select(F.col("_n.name").alias("_j_gene"), F.col("_n.turn").alias("_turn"), "_j", "_t")
+    j = j.join(turns, ["_j_gene", "_turn"])
+    parts = pairs.join(v, "v_gene", "left").join(j, F.col("_j_gene") == F.col("j_gene"), "left")
     parts = parts.withColumn("_core", base)
 
     def attempt(add_terminal: bool, skip_anchor: bool, skip_leader: bool) -> Column:

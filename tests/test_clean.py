@@ -152,3 +152,15 @@ def test_stitch(spark):
     assert all(r["cdr3"] in r["full_aa"][r["cdr3_start"]:r["cdr3_end"]] for r in table.collect())
     with pytest.raises(RuntimeError):
         st.check_not_empty(full.filter("v_gene = 'V9'"))
+
+
+def test_stitch_finds_j_genes_with_and_without_allele(spark):
+    v = spark.createDataFrame([("V1", "Q", None, "CAS")], "v_gene string, body string, leader string, anchor string")
+    j = spark.createDataFrame(
+        [("J1", "A", "F"), ("J1*01", "C", "F"), ("J2*01", "D", "F"), ("J2*02", "E", "F"), ("J3*02", "G", "F"), (None, "K", "F")],
+        "j_gene string, body string, terminal string",
+    )
+    genes = ["J1", "J1*01", "J2", "J2*01", "J2*02", "J3", "J3*02", None]
+    df = spark.createDataFrame([("CASSF", "V1", g) for g in genes], "cdr3 string, v_gene string, j_gene string")
+    got = {r["j_gene"]: r["full_aa"] for r in st.stitch_full_sequence(df, v, j).collect()}
+    assert [got[g] and got[g][-1] for g in genes] == ["A", "C", "D", "D", "E", None, "G", None]

@@ -52,7 +52,8 @@ def test_strict_and_drop(spark, pairs):
     found = lk.with_vectors(pairs, receptors, peptides, drop_missing=True)
     lost = pairs.filter("cdr3 = 'C4'").count()
     assert found.count() == pairs.count() - lost > 0
-    assert lk.feature_table(found).first()["features"] == lk.feature_table(found).first()["receptor_vec"] + [2.0, 1.0]
+    one = lk.feature_table(found).first()
+    assert one["features"] == one["receptor_vec"] + [2.0, 1.0]
     cover = lk.vector_coverage(pairs, receptors, peptides).first()
     assert tuple(cover) == (900, 900 - lost, 900, 900 - lost)
 
