@@ -169,7 +169,7 @@ def _by_blocks(
         for batch in batches:
             for size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 nodes, first, _ = opened(size, data)
-                yield _edge_batch([(nodes[f], nodes[i]) for i, f in enumerate(first) if i != f])
+                yield _edge_batch(_star(nodes, first))
 
     def across(table: pa.Table) -> pa.Table:
         packs = [opened(s, d) for s, d in zip(table.column("size").to_pylist(), table.column("data").to_pylist(), strict=True)]
@@ -196,6 +196,32 @@ def _by_blocks(
     )
 
 
+def _star(nodes: list[bytes], first: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """An edge from the least node of each piece to each other one, so that trees which find
+    the same piece pass on the same edges."""
+    least: dict[int, bytes] = {}
+    pieces = first.tolist()
+    for f, node in zip(pieces, nodes, strict=True):
+        if f not in least or node < least[f]:
+            least[f] = node
+    return [(least[f], node) for f, node in zip(pieces, nodes, strict=True) if node != least[f]]
+
+
+def _together(*labels: np.ndarray) -> np.ndarray:
+    """Pieces of places that are together in any of the labellings (by first places)."""
+    root = list(range(len(labels[0])))
+
+    def of(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for label in labels:
+        for i, f in enumerate(label.tolist()):
+            root[of(i)] = of(f)
+    return np.array([of(i) for i in range(len(root))], np.int64)
+
+
 def _nearby(paths: np.ndarray, least: int) -> np.ndarray:
     """Pieces of sorted paths (by their first places) that neighbours alone join."""
     joined = (paths[1:] == paths[:-1]).sum(axis=1) >= least
@@ -239,15 +265,12 @@ def _stars(regions: DataFrame, least: int, deep: bool = False) -> DataFrame:
                 return []
             paths = np.frombuffer(b"".join(read), np.uint8).reshape(len(nodes), HASHES)
             if not deep:
-                first = _searched(paths, least)
-                return [(nodes[f], nodes[i]) for i, f in enumerate(first) if i != f]
-            first = _nearby(paths, least)
-            edges = [(nodes[f], nodes[i]) for i, f in enumerate(first) if i != f]
+                return _star(nodes, _searched(paths, least))
+            inside = np.arange(len(nodes))
             for begin, end in _deeper(paths):
                 if end - begin <= REGION:
-                    own = _searched(paths[begin:end], least)
-                    edges += [(nodes[begin + f], nodes[begin + i]) for i, f in enumerate(own) if i != f]
-            return edges
+                    inside[begin:end] = begin + _searched(paths[begin:end], least)
+            return _star(nodes, _together(_nearby(paths, least), inside))
 
         for batch in batches:
             edges = []
