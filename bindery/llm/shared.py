@@ -37,7 +37,11 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches to Python end after ``BATCH_BYTES`` as well as after a row count."""
+    """Arrow batches to Python end after ``BATCH_BYTES`` as well as after a row count.
+
+    Spark reads this setting when a plan runs, which is after the operator has returned, so it stays
+    set in the session of the caller.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
