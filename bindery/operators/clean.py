@@ -28,6 +28,7 @@ from bindery.functions.text import (
     strip,
     strip_gaps,
 )
+from bindery.staging import staged
 
 
 # --- small steps ----------------------------------------------------------------------
@@ -273,35 +274,37 @@ def steps_of(marked: DataFrame, source: str) -> list[str]:
     return [s for s in STEPS[source] if f"_{s}" in marked.columns]
 
 
-def clean_rows(marked: DataFrame, source: str) -> DataFrame:
-    """Distinct standard rows that pass every step, tagged with their source."""
-    passed = reduce(lambda a, b: a & b, [F.col(f"_{s}") for s in steps_of(marked, source)])
-    rows = marked.filter(passed).select(*PAIR_COLUMNS).distinct()
-    return rows.withColumn("source", F.lit(source))
-
-
-def funnel(marked: DataFrame, source: str) -> DataFrame:
-    """Rows left after each step: ``source, step_no, step, n_rows, n_removed``.
-
-    Rows are first reduced to the number of each distinct result and of the steps it
-    passed, so the last step (distinct rows) needs no second pass over the table.
-    """
+def sized(marked: DataFrame, source: str) -> DataFrame:
+    """Rows by the number of steps they pass (``_depth``) and, if all, by their values, with
+    their number ``_n``: what both the cleaned rows and the funnel are made from."""
     steps = steps_of(marked, source)
-    flags = [F.col(f"_{s}") for s in steps]
     depth, running = F.lit(0), F.lit(True)
-    for flag in flags:
-        running = running & flag
+    for step in steps:
+        running = running & F.col(f"_{step}")
         depth = depth + running.cast("int")
     # Only rows that pass everything need their values told apart.
     done = F.col("_depth") == len(steps)
     told = [F.when(done, F.col(c)).alias(c) for c in PAIR_COLUMNS]
-    sized = marked.withColumn("_depth", depth).select(F.col("_depth"), *told)
-    sized = sized.groupBy("_depth", *PAIR_COLUMNS).agg(F.count("*").alias("_n"))
+    rows = marked.withColumn("_depth", depth).select(F.col("_depth"), *told)
+    return rows.groupBy("_depth", *PAIR_COLUMNS).agg(F.count("*").alias("_n"))
+
+
+def clean_rows(marked: DataFrame, source: str, groups: DataFrame | None = None) -> DataFrame:
+    """Distinct standard rows that pass every step, tagged with their source."""
+    groups = sized(marked, source) if groups is None else groups
+    passed = groups.filter(F.col("_depth") == len(steps_of(marked, source)))
+    return passed.select(*PAIR_COLUMNS, F.lit(source).alias("source"))
+
+
+def funnel(marked: DataFrame, source: str, groups: DataFrame | None = None) -> DataFrame:
+    """Rows left after each step: ``source, step_no, step, n_rows, n_removed``."""
+    steps = steps_of(marked, source)
+    groups = sized(marked, source) if groups is None else groups
     whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     names = ["loaded_rows", *[f"after_{s}" for s in steps], "after_dedup"]
     counts = [whole("_n"), *[whole(F.when(F.col("_depth") > i, F.col("_n"))) for i in range(len(steps))]]
-    counts.append(whole(F.when(done, 1)))
-    row = sized.agg(*[c.alias(n) for c, n in zip(counts, names)])
+    counts.append(whole(F.when(F.col("_depth") == len(steps), 1)))
+    row = groups.agg(*[c.alias(n) for c, n in zip(counts, names)])
     entries = [
         F.struct(F.lit(i).alias("step_no"), F.lit(n).alias("step"), F.col(n).alias("n_rows"))
         for i, n in enumerate(names)
@@ -365,9 +368,11 @@ def pooled_summary(parts: DataFrame, combined: DataFrame) -> DataFrame:
 def build_pairs(
     marked: dict[str, DataFrame], drop_multi: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(combined clean pairs, funnel of all sources) from marked tables by source name."""
-    pairs = combine(*[clean_rows(m, s) for s, m in marked.items()])
-    steps = reduce(lambda a, b: a.unionByName(b), [funnel(m, s) for s, m in marked.items()])
-    return (drop_promiscuous(pairs) if drop_multi else pairs), steps
-
+    """(combined clean pairs, funnel of all sources) from marked tables by source name.
 
+    Each source is read once: its rows, grouped by result, are written, and both are made from that.
+    """
+    groups = {s: staged(sized(m, s), "sized") for s, m in marked.items()}
+    pairs = combine(*[clean_rows(m, s, groups[s]) for s, m in marked.items()])
+    steps = reduce(lambda a, b: a.unionByName(b), [funnel(m, s, groups[s]) for s, m in marked.items()])
+    return (drop_promiscuous(pairs) if drop_multi else pairs), steps
