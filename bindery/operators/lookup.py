@@ -25,18 +25,36 @@ def first_occurrence(store: DataFrame, key: Sequence[str], order: str) -> DataFr
 def hot_keys(df: DataFrame, key: Sequence[str], share: int | None = None) -> list[tuple]:
     """Keys that hold more than 1/share of all rows: fewer than ``share`` of them exist.
 
-    A quarter of a shuffle partition's even part is the limit unless ``share`` is given. One
-    query whose two branches share the counts: at most ``share`` keys, the largest, and the
-    number of all rows come to the driver.
+    A quarter of a shuffle partition's even part is the limit unless ``share`` is given.
+    """
+    return hot_keys_by(df, {"key": list(key)}, share)["key"]
+
+
+def hot_keys_by(
+    df: DataFrame, keys: dict[str, Sequence[str]], share: int | None = None
+) -> dict[str, list[tuple]]:
+    """``hot_keys`` for several keys by name, all from one pass that shuffles no rows.
+
+    A frequent-item sketch of the hashes names every key above the limit (its error is below a
+    quarter of that) and perhaps others; only the rows of these are then counted exactly.
     """
     if share is None:
         share = max(HOT_SHARE, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = df.groupBy(*key).agg(F.count("*").alias("_n"))
-    top = counts.orderBy(F.desc("_n")).limit(share).withColumn("_all", F.lit(False))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")).withColumn("_all", F.lit(True))
-    rows = top.unionByName(total, allowMissingColumns=True).collect()
-    n = next(r["_n"] for r in rows if r["_all"])
-    return [tuple(r[c] for c in key) for r in rows if not r["_all"] and r["_n"] * share > n]
+    hashes = {name: F.xxhash64(*key) for name, key in keys.items()}
+    kept, tracked = 2 * share, min(1_000_000, 1 << (16 * share - 1).bit_length())
+    hashed = df.select(*[h.alias(f"_h{i}") for i, h in enumerate(hashes.values())])
+    sketch = hashed.agg(F.count("*").alias("n"), *[
+        F.expr(f"approx_top_k(_h{i}, {min(kept, tracked)}, {tracked})").alias(f"t{i}") for i in range(len(keys))
+    ]).first()
+    found = {}
+    for i, (name, key) in enumerate(keys.items()):
+        likely = [t["item"] for t in sketch[f"t{i}"] or [] if 2 * t["count"] * share > sketch["n"]]
+        rows = []
+        if likely:
+            counts = df.where(hashes[name].isin(likely)).groupBy(*key).agg(F.count("*").alias("_n"))
+            rows = counts.where(F.col("_n") * share > sketch["n"]).collect()
+        found[name] = [tuple(r[c] for c in key) for r in sorted(rows, key=lambda r: -r["_n"])]
+    return found
 
 
 def spread_join(
@@ -106,7 +124,7 @@ def with_vectors(
         for store, column in ((receptors, "cdr3"), (peptides, "peptide")):
             _raise_missing(pairs, store, column)
     # Hot keys are looked up in the pairs, not in the joined rows with their vectors.
-    hot = {c: hot_keys(pairs, [c]) for c in ("cdr3", "peptide")}
+    hot = hot_keys_by(pairs, {"cdr3": ["cdr3"], "peptide": ["peptide"]})
     columns = pairs.columns
     row = "_row" if any(hot.values()) else None
     joined = numbered_rows(pairs) if row else pairs
@@ -222,23 +240,46 @@ def by_length(df: DataFrame, column: str, partitions: int | None = None) -> Data
     return df.repartitionByRange(n, length, F.col(column)).sortWithinPartitions(length)
 
 
+def within_budget(
+    frames: Iterator[pd.DataFrame], texts: Sequence[str], budget: int | None
+) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames`` in order, in pieces whose number of rows times the sum of their longest
+    texts stays within ``budget``; a row beyond it is a piece of its own."""
+    for frame in frames:
+        if budget is None or not texts:
+            yield frame
+            continue
+        sizes = frame[list(texts)].apply(lambda c: c.str.len().fillna(0).astype("int64")).to_numpy()
+        begin, longest = 0, [0] * len(texts)
+        for i, row in enumerate(sizes):
+            wider = [max(a, b) for a, b in zip(longest, row, strict=True)]
+            if i > begin and sum(wider) * (i + 1 - begin) > budget:
+                yield frame.iloc[begin:i]
+                begin, wider = i, list(row)
+            longest = wider
+        if len(frame) > begin:
+            yield frame.iloc[begin:]
+
+
 def encode_distinct(
     df: DataFrame,
     column: str,
     encoder: Callable[[pd.Series], pd.DataFrame],
     schema: T.StructType | str,
+    budget: int | None = None,
 ) -> DataFrame:
     """Run a user's encoder once per distinct sequence and join the result to all rows.
 
     ``encoder`` maps a batch of sequences to one row each, in order, with the columns of
-    ``schema``. Empty and null sequences are not encoded.
+    ``schema``. Empty and null sequences are not encoded. With ``budget`` a batch has at most so many
+    residues, padded to its longest sequence; a longer sequence is a batch by itself.
     """
     words = df.select(column).filter(F.col(column).isNotNull() & (F.col(column) != "")).distinct()
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = T.StructType([T.StructField(column, T.StringType()), *fields.fields])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in within_budget(frames, [column], budget):
             encoded = encoder(frame[column]).reset_index(drop=True)
             if len(encoded) != len(frame):
                 raise ValueError(f"encoder gave {len(encoded)} rows for {len(frame)} sequences")
@@ -253,13 +294,20 @@ def score_batches(
     predict: Callable[[pd.DataFrame], pd.Series],
     inputs: Sequence[str],
     score: str = "score",
+    budget: int | None = None,
 ) -> DataFrame:
-    """Add the score that a user's function gives each batch of rows."""
+    """Add the score that a user's function gives each batch of rows.
+
+    With ``budget`` a batch has at most so many residues in its text inputs, each padded to its
+    longest; a larger row is a batch by itself. Sort by length first (``by_length``) to pad little.
+    """
     keep = list(df.columns)
     out = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
 
+    texts = [c for c in inputs if df.schema[c].dataType == T.StringType()]
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in within_budget(frames, texts, budget):
             result = frame[keep].copy()
             result[score] = pd.Series(predict(frame[list(inputs)])).to_numpy(dtype="float64")
             yield result

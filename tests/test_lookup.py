@@ -1,5 +1,7 @@
 """Joins by key: strictness, first rows, hot keys, user functions."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +26,22 @@ def test_hot_keys(pairs):
     assert lk.hot_keys(pairs.filter("n < 0"), ["cdr3"]) == []
 
 
+@pytest.mark.parametrize("share", [16, 100, 400])
+def test_no_hot_key_is_missed(spark, share):
+    """Against exact counts, on shares that fall slowly past the limit; null is a key too."""
+    rng = random.Random(share)
+    rows = []
+    for i in range(30_000):
+        k = min(int(1 / max(1e-4, rng.random()) ** 0.8), 5000)
+        rows.append((f"k{k}" if k > 1 else None, k % 3, rng.randrange(10**6)))
+    df = spark.createDataFrame(rows, "a string, b int, c int").repartition(6)
+    for key in (["a"], ["a", "b"], ["c"]):
+        counts = df.groupBy(*key).count().where(f"count * {share} > {len(rows)}").collect()
+        assert set(lk.hot_keys(df, key, share)) == {tuple(r)[:-1] for r in counts}
+    both = lk.hot_keys_by(df, {"x": ["a"], "y": ["b"]}, share)
+    assert set(both["x"]) == set(lk.hot_keys(df, ["a"], share)) and len(both["y"]) == 3
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spread_join_equals_join(spark, pairs, how):
     right = store(spark, ["HOT", "C1", "C2", "Cx"], "cdr3")
@@ -93,6 +111,31 @@ def test_encode_distinct_runs_once_per_sequence(spark, pairs):
         lk.encode_distinct(pairs, "cdr3", lambda s: pd.DataFrame({"n_letters": [1]}), "n_letters int").collect()
 
 
+def test_no_batch_passes_its_budget(spark):
+    """One very long sequence is a batch by itself, and does not widen those of others."""
+    words = ["A" * (1 + i % 40) for i in range(500)] + ["L" * 5000, "M" * 700]
+    rows = spark.createDataFrame([(i, w + str(i), "P" * (i % 9)) for i, w in enumerate(words)], "n int, cdr3 string, peptide string")
+
+    def encoder(s):
+        padded = len(s) * s.str.len().max()
+        assert padded <= 600 or len(s) == 1, padded
+        return pd.DataFrame({"n_letters": s.str.len(), "batch": len(s)})
+
+    got = lk.encode_distinct(rows, "cdr3", encoder, "n_letters int, batch int", budget=600).collect()
+    assert len(got) == 502 and all(r["n_letters"] == len(r["cdr3"]) for r in got)
+    assert max(r["batch"] for r in got) > 10 and {r["batch"] for r in got if r["n_letters"] > 600} == {1}
+
+    def predict(frame):
+        widths = sum(frame[c].str.len().max() for c in ("cdr3", "peptide"))
+        assert len(frame) * widths <= 600 or len(frame) == 1
+        return frame["cdr3"].str.len() * 1.0
+
+    scored = lk.score_batches(lk.by_length(rows, "cdr3"), predict, ["cdr3", "peptide"], budget=600).collect()
+    assert len(scored) == 502 and all(r["score"] == len(r["cdr3"]) for r in scored)
+    frame = pd.DataFrame({"a": ["xx", "x", None, "xxxxx", "", "x"]})
+    assert [len(f) for f in lk.within_budget(iter([frame, frame.iloc[:0]]), ["a"], 4)] == [2, 1, 1, 2]
+
+
 def test_score_batches(pairs):
     got = lk.score_batches(pairs, lambda b: b["n"] * 2.0, ["n"])
     assert got.filter("score <> n * 2").isEmpty() and got.columns == [*pairs.columns, "score"]
