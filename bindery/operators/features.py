@@ -174,27 +174,70 @@ def sparse_pair_features(
     return model.transform(df.withColumn("_terms", F.concat(*terms))).select(*keep, out)
 
 
-def residue_edges(
+def residue_graph(
     pairs: DataFrame, receptor_len: int = RECEPTOR_LENGTH, peptide_len: int = PEPTIDE_LENGTH
 ) -> DataFrame:
-    """Edges between real residues of a pair: ``src, dst, etype``.
+    """Each pair with one compressed adjacency of its real residues: ``nodes``, and for each edge
+    type ``offsets_t`` and ``targets_t``.
 
     Receptor residues are numbered from 0, peptide residues from ``receptor_len``. Type 0
     joins neighbours in the receptor, 1 neighbours in the peptide, 2 every receptor
-    residue with every peptide residue; each edge is listed in both directions.
+    residue with every peptide residue; each edge is listed in both directions. The
+    neighbours of ``nodes[i]`` stand in ``targets_t`` from ``offsets_t[i]`` up to ``offsets_t[i + 1]``.
     """
-    steps = lambda n: F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
     every = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    edge = lambda a, b, t: F.struct(a.alias("src"), b.alias("dst"), F.lit(t).alias("etype"))
     r = F.least(F.length("cdr3"), F.lit(receptor_len))
     p = F.least(F.length("peptide"), F.lit(peptide_len))
     at = F.lit(receptor_len)
-    chain = F.transform(steps(r), lambda i: edge(i, i + 1, 0))
-    other = F.transform(steps(p), lambda i: edge(at + i, at + i + 1, 1))
-    cross = F.flatten(F.transform(every(r), lambda i: F.transform(every(p), lambda j: edge(i, at + j, 2))))
-    one_way = pairs.withColumn("_e", F.explode(F.concat(chain, other, cross)))
-    both = F.explode(F.array(
-        F.struct(F.col("_e.src").alias("src"), F.col("_e.dst").alias("dst"), F.col("_e.etype").alias("etype")),
-        F.struct(F.col("_e.dst").alias("src"), F.col("_e.src").alias("dst"), F.col("_e.etype").alias("etype")),
-    ))
-    return one_way.withColumn("_b", both).select(*pairs.columns, "_b.src", "_b.dst", "_b.etype")
+    front, back = every(r), F.transform(every(p), lambda j: at + j)
+
+    def beside(node: Column, first: Column, n: Column) -> Column:
+        return F.filter(F.array(node - 1, node + 1), lambda x: (x >= first) & (x < first + n))
+
+    zero = F.lit(0)
+    targets = {
+        0: F.flatten(F.transform(front, lambda i: beside(i, zero, r))),
+        1: F.flatten(F.transform(back, lambda j: beside(j, at, p))),
+        2: F.flatten(F.concat(F.transform(front, lambda _: back), F.transform(back, lambda _: front))),
+    }
+    # residues inside a chain have two neighbours, those at its ends one
+    chain = lambda i, n: F.greatest(zero, F.least(2 * i - 1, 2 * n - 2))
+    ends = {
+        0: lambda i: chain(i, r),
+        1: lambda i: chain(i - r, p),
+        2: lambda i: F.when(i <= r, i * p).otherwise(r * p + (i - r) * r),
+    }
+    known = F.col("cdr3").isNotNull() & F.col("peptide").isNotNull()
+    places = F.sequence(zero, r + p)
+    out = pairs.withColumn("nodes", F.when(known, F.concat(front, back)))
+    for t, own in targets.items():
+        offsets = F.when(known, F.transform(places, ends[t]))
+        out = out.withColumns({f"offsets_{t}": offsets, f"targets_{t}": F.when(known, own)})
+    return out
+
+
+def graph_edges(graph: DataFrame) -> DataFrame:
+    """The adjacency of ``residue_graph`` spelled out: a row ``src, dst, etype`` for each edge."""
+    added = ["nodes", *[f"{what}_{t}" for t in range(3) for what in ("offsets", "targets")]]
+    keep = [c for c in graph.columns if c not in added]
+
+    def of_type(t: int) -> Column:
+        offsets, targets = F.col(f"offsets_{t}"), F.col(f"targets_{t}")
+
+        def of_node(src: Column, i: Column) -> Column:
+            begin, end = offsets[i], offsets[i + 1]
+            return F.transform(F.slice(targets, begin + 1, end - begin), lambda dst: F.struct(
+                src.alias("src"), dst.alias("dst"), F.lit(t).alias("etype")
+            ))
+
+        return F.flatten(F.transform("nodes", of_node))
+
+    listed = graph.select(*keep, F.explode(F.concat(*[of_type(t) for t in range(3)])).alias("_e"))
+    return listed.select(*keep, "_e.src", "_e.dst", "_e.etype")
+
+
+def residue_edges(
+    pairs: DataFrame, receptor_len: int = RECEPTOR_LENGTH, peptide_len: int = PEPTIDE_LENGTH
+) -> DataFrame:
+    """The edges of ``residue_graph`` as rows; up to 986 for a pair, so store the graph instead."""
+    return graph_edges(residue_graph(pairs, receptor_len, peptide_len))

@@ -128,3 +128,22 @@ def test_edges(spark):
     got = sorted((r["src"], r["dst"], r["etype"]) for r in ft.residue_edges(df, 4, 5).collect())
     one_way = [(0, 1, 0), (4, 5, 1), (5, 6, 1)] + [(i, 4 + j, 2) for i in range(2) for j in range(3)]
     assert got == sorted(one_way + [(b, a, t) for a, b, t in one_way])
+
+
+def test_one_compressed_graph_per_pair(spark):
+    df = spark.createDataFrame([("CAS", "GI", 1), ("C", "", 2), ("", "", 3), ("A" * 40, "G" * 20, 4), (None, "G", 5)], "cdr3 string, peptide string, n int")
+    graph = ft.residue_graph(df, 30, 15)
+    assert graph.count() == 5
+    for r in graph.collect():
+        if r["cdr3"] is None:
+            assert r["nodes"] is None
+            continue
+        a, b = min(30, len(r["cdr3"])), min(15, len(r["peptide"]))
+        assert r["nodes"] == [*range(a), *range(30, 30 + b)]
+        want = {0: 2 * max(0, a - 1), 1: 2 * max(0, b - 1), 2: 2 * a * b}
+        for t, n in want.items():
+            offsets, targets = r[f"offsets_{t}"], r[f"targets_{t}"]
+            assert len(offsets) == a + b + 1 and offsets[0] == 0 and offsets[-1] == len(targets) == n
+            edges = {(s, d) for i, s in enumerate(r["nodes"]) for d in targets[offsets[i]:offsets[i + 1]]}
+            assert len(edges) == n and edges == {(d, s) for s, d in edges}
+    assert ft.graph_edges(graph).where("n = 4").count() == 986
