@@ -30,6 +30,8 @@ from bindery.staging import staged
 
 RECEPTOR_KEY = ["cdr3", "v_gene", "j_gene"]
 CONTEXT = ["tcr_chain", "mhc_a", "mhc_b", "mhc_class"]
+#: Parts in which the receptors of one peptide meet its near peptides.
+PARTS = 32
 
 
 def peptide_groups(
@@ -102,14 +104,18 @@ def left_out_donors(
     """Positions a peptide's pool leaves out: ``(by, peptide, grp, pos, n_donors)``.
 
     A receptor is left out when all its peptides in the group are near (as many as it
-    has in all), or when its ``known`` columns already form a positive with the peptide.
+    has in all), or when its ``known`` columns already form a positive with the peptide. Near peptides
+    are few, so each is repeated for every part of its receptors, and one peptide with a third of
+    all rows is met in ``PARTS`` places.
     """
-    bound = numbered.select(*by, "grp", *key, F.col("peptide").alias("other")).distinct()
+    part = F.pmod(F.xxhash64(*key), F.lit(PARTS)).alias("part")
+    bound = numbered.select(*by, "grp", *key, F.col("peptide").alias("other"), part).distinct()
     near = _near_or_same(numbered, threshold)
     targets = numbered.select(*by, "peptide").distinct()
     if by:
         near = near.join(targets, "peptide")
-    close = near.join(bound, [*by, "other"]).groupBy(*by, "peptide", "grp", *key)
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    close = near.join(bound, [*by, "other", "part"]).groupBy(*by, "peptide", "grp", *key)
     close = close.agg(F.count("*").alias("n_near"))
     close = close.join(donors, [*by, "grp", *key]).filter(F.col("n_near") == F.col("n_own"))
     positives = numbered.select(*by, *known, "peptide").distinct()
@@ -256,13 +262,17 @@ def labelled(positives: DataFrame, drawn: DataFrame) -> DataFrame:
     return tagged[1].select(*schema).unionByName(tagged[0].select(*schema))
 
 
+def _ratio() -> Column:
+    """Negatives per positive to 2 digits, in whole numbers: a half is a half in every engine."""
+    return F.when(F.col("n_pos") > 0, F.expr("((200 * n_neg + n_pos) div (2 * n_pos)) / 100"))
+
+
 def ratio_counts(positives: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Positives and negatives per peptide with ``ratio`` rounded to 2 digits."""
+    """Positives and negatives per peptide with ``ratio`` rounded to 2 digits, halves up."""
     pos = positives.groupBy("peptide").agg(F.count("*").alias("n_pos"))
     neg = drawn.groupBy("peptide").agg(F.count("*").alias("n_neg"))
     both = pos.join(neg, "peptide", "full").fillna(0, ["n_pos", "n_neg"])
-    ratio = F.when(F.col("n_pos") > 0, F.round(F.col("n_neg") / F.col("n_pos"), 2))
-    return both.withColumn("ratio", ratio)
+    return both.withColumn("ratio", _ratio())
 
 
 def ratio_report(
@@ -276,7 +286,7 @@ def ratio_report(
 def overall_ratio(counts: DataFrame) -> DataFrame:
     """Sums of ``ratio_counts`` and their ratio."""
     sums = counts.agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
-    return sums.withColumn("ratio", F.round(F.col("n_neg") / F.col("n_pos"), 2))
+    return sums.withColumn("ratio", _ratio())
 
 
 def random_swaps(pairs: DataFrame, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:

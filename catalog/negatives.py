@@ -206,7 +206,7 @@ QUERIES = {
 _SHARED = "cdr3, tcr_chain, v_gene, j_gene, peptide, mhc_a, mhc_b, mhc_class"
 _REPORT = """
     counts AS (SELECT peptide, coalesce(n_pos, 0) AS n_pos, coalesce(n_neg, 0) AS n_neg,
-                      round(coalesce(n_neg, 0) / n_pos, 2) AS ratio
+                      ((200 * coalesce(n_neg, 0) + n_pos) // (2 * n_pos)) / 100 AS ratio
                FROM (SELECT peptide, count(*) AS n_pos FROM positives GROUP BY peptide)
                FULL JOIN (SELECT peptide, count(*) AS n_neg FROM capped GROUP BY peptide) USING (peptide))
 """
@@ -252,7 +252,7 @@ ORACLE = {
     "overall_ratio": with_views(
         f"""WITH {drawn_sql()}, {_REPORT}
             SELECT sum(n_pos)::BIGINT AS n_pos, sum(n_neg)::BIGINT AS n_neg,
-                   round(sum(n_neg) / sum(n_pos), 2) AS ratio FROM counts""",
+                   ((200 * sum(n_neg) + sum(n_pos))::BIGINT // (2 * sum(n_pos))::BIGINT) / 100 AS ratio FROM counts""",
         "positives",
     ),
     "labelled_splits": with_views(

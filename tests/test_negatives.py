@@ -102,6 +102,19 @@ def test_negatives_come_from_the_pools(data):
         assert least <= len(by_peptide.get(a, set())) <= most
 
 
+def test_receptors_of_one_hot_peptide_are_met_in_many_places(spark, data):
+    rows, df = data
+    numbered = neg.number_pairs(df, [], 42, 10)
+    donors = neg.number_donors(numbered, [], neg.RECEPTOR_KEY, 42)
+    plan = neg.left_out_donors(numbered, donors, [], neg.RECEPTOR_KEY, ["cdr3"], 3)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join Inner" in line and "other#" in line]
+    assert joins and all("part#" in line for line in joins)
+    hot = Counter(r[4] for r in rows).most_common(1)[0][0]
+    parts = numbered.where(F.col("peptide") == hot).select(F.pmod(F.xxhash64(*neg.RECEPTOR_KEY), F.lit(neg.PARTS)))
+    assert parts.distinct().count() > neg.PARTS / 2
+
+
 def test_draws_are_distinct_within_a_pair_and_even_over_the_pool(spark):
     df = spark.range(4000).selectExpr("id", "cast(id % 7 as bigint) as k").where("k <= 6")
     sets = df.select("k", distinct_draws(F.col("k"), F.lit(6).cast("bigint"), 1, "id").alias("d")).collect()
