@@ -125,10 +125,10 @@ def fit_bagged_forest(
     return BaggedForest(models, list(key), seed)
 
 
-def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
-    """Results of functions that run Spark jobs, each in a thread that has the caller's job
-    properties. An error of any of them is raised once all have ended."""
-    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], object]], most: int = 10) -> list:
+    """Results of functions that run Spark jobs, up to ``most`` at a time, each in a thread that has the
+    caller's job properties. An error of any of them is raised once all have ended."""
+    with ThreadPoolExecutor(max(1, min(most, len(jobs)))) as pool:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
@@ -194,7 +194,8 @@ def linear_probe(
     """Cross-validated scores of a linear classifier on vectors: mean and deviation.
 
     Scaling is fitted inside each fold. With ``layer`` every value of that column (few:
-    the layers of a model) is probed on its own. Rows without a vector are left out.
+    the layers of a model) is probed on its own; all fits run side by side on one written table.
+    Rows without a vector are left out.
     """
     usable = df.filter(F.col(vector).isNotNull() & F.col(label).isNotNull())
     by = [layer] if layer else []
@@ -203,14 +204,16 @@ def linear_probe(
         stratified_folds(rows.select(*by, *key, "_raw", "_y"), "_y", k, [*by, *key], seed), "folds"
     )
     layers = [r[0] for r in folded.select(layer).distinct().orderBy(layer).collect()] if layer else [None]
-    guesses = []
-    for value in layers:
+    counts = folded.groupBy(*by, "fold").agg(F.count("*").alias("n")).collect()
+
+    def guessed(value, i: int) -> DataFrame:
         own = folded if value is None else folded.filter(F.col(layer) == value)
-        for i in range(k):
-            train = own.filter(F.col("fold") != i)
-            model = _probe(train.count(), max_iter).fit(train)
-            done = model.transform(own.filter(F.col("fold") == i))
-            guesses.append(done.select(*by, "fold", "_y", F.col("prediction").alias("_guess")))
+        n = sum(r["n"] for r in counts if r["fold"] != i and (value is None or r[layer] == value))
+        model = _probe(n, max_iter).fit(own.filter(F.col("fold") != i))
+        done = model.transform(own.filter(F.col("fold") == i))
+        return done.select(*by, "fold", "_y", F.col("prediction").alias("_guess"))
+
+    guesses = side_by_side(df.sparkSession, [partial(guessed, value, i) for value in layers for i in range(k)])
     whole = guesses[0]
     for part in guesses[1:]:
         whole = whole.unionByName(part)
