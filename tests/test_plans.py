@@ -108,15 +108,17 @@ def test_gradient_sums_are_the_slope_of_the_loss(spark):
             assert sums[k][at] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=1e-2, abs=1e-2)
     rows = [(int(b), [i for i in range(6)], [float(v) for v in a]) for a, b in zip(x, y)]
     df = spark.createDataFrame(rows, "label int, places array<int>, values array<float>").repartition(7)
-    spread, loss, n = _summed(df, model, 2.5)
-    assert n == 40 and loss == pytest.approx(model.gradients(x, y, 2.5)[1], rel=1e-5)
-    assert all(np.allclose(a, b, rtol=1e-4, atol=1e-4) for a, b in zip(spread, sums))
+    for tasks in (1, 99):
+        spread, loss, n = _summed(df, model, 2.5, tasks)
+        assert n == 40 and loss == pytest.approx(model.gradients(x, y, 2.5)[1], rel=1e-5)
+        assert all(np.allclose(a, b, rtol=1e-4, atol=1e-4) for a, b in zip(spread, sums))
+    assert _summed(df.limit(0), model, 2.5)[2] == 0
 
 
 def test_positives_weigh_as_much_as_negatives(learnable, monkeypatch):
     asked = []
     plain = perceptron._summed
-    monkeypatch.setattr(perceptron, "_summed", lambda rows, model, w: asked.append(w) or plain(rows, model, w))
+    monkeypatch.setattr(perceptron, "_summed", lambda rows, model, w, n: asked.append(w) or plain(rows, model, w, n))
     rows = sparse_pair_features(learnable)
     train = rows.filter("split = 'train'")
     n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
