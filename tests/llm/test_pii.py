@@ -72,5 +72,10 @@ def test_odd_rows(spark):
     rows = find_pii(odd_documents(spark)).where("doc_id = 1").collect()
     assert rows[0]["base_sha256"] == hashlib.sha256(b"").hexdigest() and rows[0]["spans"] == ""
     masked = mask_pii(odd_documents(spark))
+    others = [c for c in masked.columns if c not in ("text", "n_chars")]
+    assert masked.columns == odd_documents(spark).columns
+    assert masked.select(others).exceptAll(odd_documents(spark).select(others)).isEmpty()
+    two = mask_pii(spark.createDataFrame([("write to a@b.org", 1), (None, 2)], "text string, id int")).collect()
+    assert [tuple(r) for r in two] == [("write to [EMAIL]", 1), (None, 2)]
     assert masked.count() == len(odd_rows()) and masked.where("text is null").count() == 2
     assert find_pii(no_documents(spark)).collect() == mask_pii(no_documents(spark)).collect() == []

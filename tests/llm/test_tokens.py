@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -106,6 +107,9 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
          np.frombuffer(bytes(r["record"]), "<u2")[:r["n_tokens"]].tolist()) for r in got
     )
     assert have == want and all(len(r["record"]) == 32 for r in got)
+    files = sorted((tmp_path / "s").glob("part-*"))
+    firsts = [pq.read_table(f).column("first_slot").to_pylist() for f in files]
+    assert sum(firsts, []) == list(range(0, total, 32)) and len(files) > 1  # files in order are slots in order
     later = read_sequences(spark, str(tmp_path / "s"), from_slot=50).orderBy("slot").collect()
     assert later == got[50:]
     assert sorted(sequence_at(range(total), total, key=4).tolist()) == list(range(total))

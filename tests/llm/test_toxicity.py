@@ -68,7 +68,10 @@ def test_odd_rows(spark):
     model = fit(frame(spark, labelled(100), LABELLED))
     rows = score_documents(odd_documents(spark), model).collect()
     assert len(rows) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in rows)
-    assert drop_toxic(odd_documents(spark), model).count() == len(odd_rows())
+    kept = drop_toxic(odd_documents(spark), model)
+    assert kept.columns == odd_documents(spark).columns and kept.count() == len(odd_rows())
+    assert kept.exceptAll(odd_documents(spark)).isEmpty()
+    assert drop_toxic(frame(spark, [(1, "no other columns")]), model).count() == 1
     assert score_documents(no_documents(spark), model).collect() == []
     assert drop_toxic(no_documents(spark), model).collect() == []
 
