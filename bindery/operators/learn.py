@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -63,11 +63,18 @@ def _grown_forest(
     splits and not the forest grown so far; every tenth pass the row states are checkpointed.
     """
     ready_checkpoints(rows.sparkSession)
-    return RandomForestClassifier(
+    return _unsummarised(RandomForestClassifier(
         labelCol=label, featuresCol=features, weightCol="weight", numTrees=trees, maxDepth=depth,
         seed=seed, maxBins=32, bootstrap=bootstrap, cacheNodeIds=True, checkpointInterval=10,
         maxMemoryInMB=PASS_MEMORY_MB,
-    ).fit(rows)
+    ).fit(rows))
+
+
+def _unsummarised(model: Model) -> Model:
+    """The model without its training summary. A summary of two classes holds the session, which
+    travels with the model and cannot once anything has been observed in it."""
+    model._java_obj.setSummary(SparkContext._jvm.scala.Option.empty())
+    return model
 
 
 def fit_forest(
@@ -210,6 +217,7 @@ def linear_probe(
         own = folded if value is None else folded.filter(F.col(layer) == value)
         n = sum(r["n"] for r in counts if r["fold"] != i and (value is None or r[layer] == value))
         model = _probe(n, max_iter).fit(own.filter(F.col("fold") != i))
+        _unsummarised(model.stages[-1])
         done = model.transform(own.filter(F.col("fold") == i))
         return done.select(*by, "fold", "_y", F.col("prediction").alias("_guess"))
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
@@ -146,6 +147,16 @@ def test_calibration(learnable):
     assert {r["rule"] for r in plain.collect()} == {"default_0.5", "val_optimal", "test_oracle"}
 
 
+def test_models_travel_in_a_session_that_has_observed(spark, learnable):
+    spark.range(3).observe(Observation(), F.count(F.lit(1)).alias("n")).collect()
+    rows = sparse_pair_features(learnable)
+    assert ln.scored(ln.fit_forest(rows, trees=2, depth=2), rows).where("score between 0 and 1").count() == 240
+    model = ln.fit_bagged_forest(rows, ex.KEY, 2, 2, 2)
+    assert ln.both_scores(model, rows).where("score between 0 and 1").count() == 240
+    two = spark.createDataFrame([(i, i % 2, [float(i % 2) + i / 100, 1.0 - i / 50]) for i in range(60)], "id int, label int, vec array<double>")
+    assert ln.linear_probe(two, "label", "vec", ["id"], k=3, max_iter=20).first()["accuracy_mean"] > 0.8
+
+
 def test_no_row_is_scored_by_a_group_that_drew_it(learnable, monkeypatch):
     train = sparse_pair_features(learnable).withColumn("n", F.xxhash64(*ex.KEY))
     monkeypatch.setattr(ln, "_grown_forest", lambda rows, *a: {r["n"] for r in rows.collect()})
