@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bindery.staging import staged
 
+# What runs in tasks travels with the job, as executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HOT_SHARE = 64
 
 
