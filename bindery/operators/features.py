@@ -239,5 +239,22 @@ def graph_edges(graph: DataFrame) -> DataFrame:
 def residue_edges(
     pairs: DataFrame, receptor_len: int = RECEPTOR_LENGTH, peptide_len: int = PEPTIDE_LENGTH
 ) -> DataFrame:
-    """The edges of ``residue_graph`` as rows; up to 986 for a pair, so store the graph instead."""
-    return graph_edges(residue_graph(pairs, receptor_len, peptide_len))
+    """The edges of ``residue_graph`` as rows; up to 986 for a pair, so store the graph instead.
+
+    Edges depend on the two lengths only. Their graphs are made once for each pair of lengths, at
+    most ``(receptor_len + 1) * (peptide_len + 1)`` of them, and broadcast.
+    """
+    spark = pairs.sparkSession
+    sides = spark.range(receptor_len + 1).selectExpr("repeat('A', cast(id as int)) AS cdr3")
+    shapes = sides.crossJoin(spark.range(peptide_len + 1).selectExpr("repeat('A', cast(id as int)) AS peptide"))
+    edges = graph_edges(residue_graph(shapes, receptor_len, peptide_len))
+    edges = edges.groupBy(F.length("cdr3").alias("_r"), F.length("peptide").alias("_p"))
+    edges = edges.agg(F.collect_list(F.struct("src", "dst", "etype")).alias("_e"))
+    # least() would pass over the null length of a null text
+    known = F.col("cdr3").isNotNull() & F.col("peptide").isNotNull()
+    lengths = {
+        "_r": F.when(known, F.least(F.length("cdr3"), F.lit(receptor_len))),
+        "_p": F.when(known, F.least(F.length("peptide"), F.lit(peptide_len))),
+    }
+    listed = pairs.withColumns(lengths).join(F.broadcast(edges), ["_r", "_p"])
+    return listed.select(*pairs.columns, F.inline("_e"))

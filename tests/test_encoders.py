@@ -147,3 +147,15 @@ def test_one_compressed_graph_per_pair(spark):
             edges = {(s, d) for i, s in enumerate(r["nodes"]) for d in targets[offsets[i]:offsets[i + 1]]}
             assert len(edges) == n and edges == {(d, s) for s, d in edges}
     assert ft.graph_edges(graph).where("n = 4").count() == 986
+
+
+def test_edges_are_made_once_for_each_pair_of_lengths(spark):
+    """Same rows as the graph spelled out for every pair; repeats stay, empty and null texts have none."""
+    rows = [("CAS", "GI"), ("CAS", "GI"), ("CASSF", "GILGFV"), ("", "GI"), ("C", ""), (None, "GI"), ("CAS", None)]
+    df = spark.createDataFrame(rows, "cdr3 string, peptide string")
+    edges = ft.residue_edges(df, 4, 5)
+    want = ft.graph_edges(ft.residue_graph(df, 4, 5))
+    assert edges.columns == want.columns and edges.count() == want.count() > 0
+    assert edges.exceptAll(want).isEmpty() and want.exceptAll(edges).isEmpty()
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "broadcast" in plan
