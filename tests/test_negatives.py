@@ -115,6 +115,29 @@ def test_receptors_of_one_hot_peptide_are_met_in_many_places(spark, data):
     assert parts.distinct().count() > neg.PARTS / 2
 
 
+def test_receptors_between_two_near_peptides(spark):
+    """First and last peptide near, one between far or not; a null key or peptide leaves nothing out."""
+    near, far = ["AAAAAAAAA", "AAAAAAAAW", "WAAAAAAAA"], "CCCCCCCCC"
+    bound = {"R1": near[:1], "R2": near[1:], "R3": near, "R4": [near[0], far, near[2]], "R5": [far], "R6": [near[0], None], None: near[:1]}
+    rows = [(r, "TRB", "V1", "J1", p, "A", "", "MHCI", "S") for r, ps in bound.items() for p in ps]
+    numbered = neg.number_pairs(spark.createDataFrame(rows, COLUMNS), [], 42, 1)
+    donors = neg.number_donors(numbered, [], neg.RECEPTOR_KEY, 42)
+    got = neg.all_near(numbered, donors, [], neg.RECEPTOR_KEY, 3).select("peptide", "cdr3").collect()
+    want = {(p, r) for p in near for r in ("R1", "R2", "R3")} | {(far, "R5")}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_near_peptides_meet_a_receptor_once(spark):
+    """The join with near peptides takes one row for each receptor, not one for each of its pairs."""
+    rows = [(f"R{r}", "TRB", "V1", "J1", "A" * p + "W" + "A" * (8 - p), "A", "", "MHCI", "S") for r in range(20) for p in range(9)]
+    numbered = neg.number_pairs(spark.createDataFrame(rows, COLUMNS), [], 42, 1)
+    donors = neg.number_donors(numbered, [], neg.RECEPTOR_KEY, 42)
+    plan = neg.left_out_donors(numbered, donors, [], neg.RECEPTOR_KEY, ["cdr3"], 3)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join Inner" in line and "other#" in line]
+    assert joins and "first#" in text and plan.count() == 180
+
+
 def test_draws_are_distinct_within_a_pair_and_even_over_the_pool(spark):
     df = spark.range(4000).selectExpr("id", "cast(id % 7 as bigint) as k").where("k <= 6")
     sets = df.select("k", distinct_draws(F.col("k"), F.lit(6).cast("bigint"), 1, "id").alias("d")).collect()
