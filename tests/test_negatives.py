@@ -138,6 +138,17 @@ def test_near_peptides_meet_a_receptor_once(spark):
     assert joins and "first#" in text and plan.count() == 180
 
 
+def test_draws_travel_as_numbers(spark, data, monkeypatch):
+    """Before repeats are gone, a draw holds no text of peptide, receptor or context."""
+    _, df = data
+    seen = {}
+    write = neg.nth_unlisted
+    monkeypatch.setattr(neg, "nth_unlisted", lambda draws, listed, *a, **k: seen.update(draws=draws, listed=listed) or write(draws, listed, *a, **k))
+    assert neg.negatives(df, max_ratio=None).count() > 0
+    for name in ("draws", "listed"):
+        assert {f.dataType.simpleString() for f in seen[name].schema} <= {"int", "bigint"}
+
+
 def test_draws_are_distinct_within_a_pair_and_even_over_the_pool(spark):
     df = spark.range(4000).selectExpr("id", "cast(id % 7 as bigint) as k").where("k <= 6")
     sets = df.select("k", distinct_draws(F.col("k"), F.lit(6).cast("bigint"), 1, "id").alias("d")).collect()

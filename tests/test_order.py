@@ -103,3 +103,16 @@ def test_a_null_group_keeps_its_rows(spark):
     assert sorted(r["n"] for r in stratified_val(df).collect()) == [1, 2, 3, 4]
     folds = stratified_folds(df, "peptide", 2, ["n"]).collect()
     assert sorted((str(r["peptide"]), r["fold"]) for r in folds) == [("None", 0), ("None", 1), ("a", 0), ("a", 1)]
+
+
+def test_rows_are_dealt_once_for_a_rank_without_groups(spark):
+    """The join with the cells takes the rows as the window dealt them; null keys rank too."""
+    df = spark.createDataFrame([(i if i % 5 else None,) for i in range(300)], "id int")
+    ranked = od.hashed_rank(df, [], ["id"], 1, "rank", "n")
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 301))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = od.hashed_rank(df, [], ["id"], 1, "rank", "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "coalesce(_cell" not in plan and "isnull(_cell" not in plan
