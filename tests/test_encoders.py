@@ -159,3 +159,12 @@ def test_edges_are_made_once_for_each_pair_of_lengths(spark):
     assert edges.exceptAll(want).isEmpty() and want.exceptAll(edges).isEmpty()
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and "broadcast" in plan
+
+
+def test_a_fitted_vocabulary_is_written_once(spark):
+    from bindery.operators.features import Categories
+
+    rows = spark.createDataFrame([("b", "x"), ("a", None), ("b", "y")], "v_gene string, j_gene string")
+    cats = Categories.fit(rows)
+    assert cats.table.inputFiles() and cats.sizes == {"v_gene": 2, "j_gene": 2}
+    assert sorted(map(tuple, cats.table.collect())) == [("j_gene", "x", 0), ("j_gene", "y", 1), ("v_gene", "a", 0), ("v_gene", "b", 1)]
