@@ -244,3 +244,17 @@ def test_paired(spark):
         assert (r["cdr3a"], r["cdr3b"], r["va"], r["ja"], r["vb"], r["jb"]) in receptors
         assert any(edits(r["peptide"], k[2]) > 3 for k in known if k[:2] == (r["cdr3a"], r["cdr3b"]))
     assert len({(r["cdr3a"], r["cdr3b"], r["va"], r["vb"], r["peptide"]) for r in got}) == len(got)
+
+
+def test_swaps_send_the_whole_rows_once(spark):
+    from bindery.operators.negatives import random_swaps
+
+    rows = [("c1", "p1", "x"), ("c1", "p1", "x"), ("c1", None, "y"), (None, "p2", "z"), ("c2", "p2", "z"), ("c3", None, "w"), ("c1", "p3", "v")]
+    out = random_swaps(spark.createDataFrame(rows, "cdr3 string, peptide string, note string"))
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(str(r[:3]) for r in got) == sorted(str(r) for r in rows if r[0] in ("c1", "c2"))
+    # a null peptide is a word like any other, which no receptor counts as known
+    assert all(r[3] in ({"p2", None} if r[0] == "c1" else {"p1", "p3", None}) for r in got)
+    assert len({r[3] for r in got if r[:3] == ("c1", "p1", "x")}) == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("note#") and "Window" not in "".join(x for x in plan.splitlines() if "note#" in x)

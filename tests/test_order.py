@@ -116,3 +116,19 @@ def test_rows_are_dealt_once_for_a_rank_without_groups(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "coalesce(_cell" not in plan and "isnull(_cell" not in plan
+
+
+def test_cells_of_each_group_change_no_position(spark):
+    from bindery.operators.order import nth_unlisted
+
+    struck = {"a": [0, 1, 5], "b": [2], "c": []}
+    size, cells = {"a": 9, "b": 6, "c": 4}, {"a": 1, "b": 3, "c": 4096}
+    draws = [(g, w, size[g], cells[g]) for g in size for w in range(size[g] - len(struck[g]))]
+    listed = [(g, p, size[g], cells[g]) for g in size for p in struck[g]]
+    df = nth_unlisted(
+        spark.createDataFrame(draws, "g string, want bigint, n bigint, k int"),
+        spark.createDataFrame(listed, "g string, pos bigint, n bigint, k int"), ["g"], "n", "want", "pos", cells="k", no_nulls=True,
+    )
+    got = sorted((r["g"], r["want"], r["pos"]) for r in df.collect())
+    free = {g: [p for p in range(size[g]) if p not in struck[g]] for g in size}
+    assert got == [(g, w, p) for g in sorted(free) for w, p in enumerate(free[g])]
