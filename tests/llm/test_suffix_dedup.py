@@ -97,3 +97,17 @@ def test_odd_rows(spark):
 def test_matches_end_with_their_document(spark):
     rows = [(1, "abcdefgh"), (2, "xyzabcd"), (3, "efghxyz")]
     assert [r[2] for r in result(frame(spark, rows), 8)] == [[], [], []]
+
+
+def test_strings_of_heavy_keys_are_told_by_the_stretch(spark):
+    same = b"abcdefghijklmnopqrstuvwxyz" * 3
+    rows = [(1, 1, True, b"01" + same + b"23"), (2, 2, True, b"4" + same), (3, 3, False, same[:40]), (4, 4, True, same[20:60] + b"#!?" + same[:11])]
+    df = spark.createDataFrame(rows, "d1 bigint, d2 bigint, single boolean, text binary")
+    texts, n = [bytes(r[3]) for r in rows], 10
+    counts = Counter(t[i:i + n] for t in texts for i in range(len(t) - n + 1))
+    want = []
+    for d1, _, single, t in rows:
+        flags = [counts[t[i:i + n]] > 1 for i in range(len(t) - n + 1)]
+        if single:
+            want += [(d1, int(b), int(e)) for b, e in suffix_dedup._ranges(np.array(flags))]
+    assert sorted((r["d1"], r["begin"], r["end"]) for r in suffix_dedup._compared(df, n).collect()) == sorted(want)
