@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindery.constants import FULL_SEQUENCE_COLUMNS
 from bindery.functions.text import core_span, cut_span
 from bindery.operators.clean import keep_existing
+from bindery.staging import staged
 
 DEFAULT_TERMINAL = "F"
 
@@ -28,6 +29,9 @@ def stitch_full_sequence(
     attempt that fits is taken, in this order: as is; with the terminal added; without the
     anchor check; with the terminal and without the check; and the same four without the
     leader for genes that have none. A result with a stop (``*``) is void.
+
+    Both gene tables are written first, so that joins know how small they are: pairs share few
+    genes, and dealt by them would end in as many tasks as there are genes.
     """
     base = F.when(F.col("cdr3").startswith("C"), F.col("cdr3")).otherwise(
         F.concat(F.lit("C"), F.col("cdr3"))
@@ -43,10 +47,10 @@ def stitch_full_sequence(
         F.struct(F.col("_j_gene").alias("name"), F.lit(0).alias("turn")),
         F.struct(bare.alias("name"), F.lit(1).alias("turn")),
     )
-    named = j.select(F.explode(names).alias("_n"), "_j", "_t").where("_n.name is not null")
+    named = staged(j, "genes").select(F.explode(names).alias("_n"), "_j", "_t").where("_n.name is not null")
     turns = named.groupBy(F.col("_n.name").alias("_j_gene")).agg(F.min("_n.turn").alias("_turn"))
     j = named.select(F.col("_n.name").alias("_j_gene"), F.col("_n.turn").alias("_turn"), "_j", "_t")
-    j = j.join(turns, ["_j_gene", "_turn"])
+    v, j = staged(v, "genes"), staged(j.join(turns, ["_j_gene", "_turn"]), "genes")
     parts = pairs.join(v, "v_gene", "left").join(j, F.col("_j_gene") == F.col("j_gene"), "left")
     parts = parts.withColumn("_core", base)
 

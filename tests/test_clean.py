@@ -164,3 +164,14 @@ def test_stitch_finds_j_genes_with_and_without_allele(spark):
     df = spark.createDataFrame([("CASSF", "V1", g) for g in genes], "cdr3 string, v_gene string, j_gene string")
     got = {r["j_gene"]: r["full_aa"] for r in st.stitch_full_sequence(df, v, j).collect()}
     assert [got[g] and got[g][-1] for g in genes] == ["A", "C", "D", "D", "E", None, "G", None]
+
+
+def test_gene_tables_are_written_before_pairs_meet_them(spark):
+    from bindery.operators.stitch import stitch_full_sequence
+
+    pairs = spark.createDataFrame([("CAF", "V1", "J1*01"), ("CAF", None, "J1")], "cdr3 string, v_gene string, j_gene string")
+    v = spark.createDataFrame([("V1", "MV", "L", "C")], "v_gene string, body string, leader string, anchor string")
+    j = spark.createDataFrame([("J1*01", "GG", None)], "j_gene string, body string, terminal string")
+    full = stitch_full_sequence(pairs, v, j)
+    assert len(full.inputFiles()) >= 2
+    assert sorted((r["v_gene"] or "", r["full_aa"]) for r in full.collect()) == [("", None), ("V1", "MVCAFGG")]
