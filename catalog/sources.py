@@ -27,7 +27,8 @@ def q_read_vdjdb(spark, folder):
 
 
 def q_read_two_row_header(spark, folder):
-    """The export as text files that each begin with the two header rows."""
+    """The export as text files that each begin with the two header rows, compressed as its rows
+    say much the same over and over."""
     rows = iedb(spark, folder)
     upper, lower = zip(*[c.split("|") for c in rows.columns])
     head = [",".join(upper), ",".join(lower)]
@@ -40,7 +41,7 @@ def q_read_two_row_header(spark, folder):
     cells = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)])
     lines = rows.select(F.to_csv(cells, keep).alias("line"))
     path = scratch(spark, "iedb.csv")
-    lines.mapInPandas(with_head, "line string").write.text(path)
+    lines.mapInPandas(with_head, "line string").write.text(path, compression="gzip")
     back = fl.read_two_row_header(spark, path, multi_line=False)
     return back.toDF(*_IEDB)
 
