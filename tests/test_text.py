@@ -91,3 +91,13 @@ def test_wildcards_and_scheme(one):
 def test_choose_nonempty(spark):
     df = spark.createDataFrame([("a", "b"), (" ", "b "), (None, None)], "x string, y string")
     assert [r[0] for r in df.select(tx.choose_nonempty("x", "y")).collect()] == ["a", "b", ""]
+
+
+def test_core_span_is_compiled(spark):
+    from bindery.functions.text import core_span
+
+    rows = spark.createDataFrame([("MCASSFG", "ass"), ("MCASSFG", "CAS"), ("MCASSFG", "Q"), ("MG", ""), (None, "A"), ("MG", None)], "full string, core string")
+    df = rows.select("full", "core", core_span("full", "core").alias("s"))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["s"]["start"], r["s"]["end"]) if r["s"] else None for r in df.collect()]
+    assert got == [(2, 5), (1, 4), None, (0, 0), None, None]
