@@ -6,23 +6,23 @@ from pyspark.sql import functions as F
 
 from bindery.operators import split as sp
 from catalog.negatives import ALL
-from catalog.views import table, view, with_views
+from catalog.views import stored, table, view, with_views
 
 
 def q_split_by_peptide(spark, folder):
-    return sp.holdout(view(spark, folder, "positives"), "peptide")
+    return sp.holdout(stored(spark, folder, "positives"), "peptide")
 
 
 def q_split_by_receptor(spark, folder):
-    return sp.holdout(view(spark, folder, "positives"), "cdr3", 0.15, 0.1, seed=7)
+    return sp.holdout(stored(spark, folder, "positives"), "cdr3", 0.15, 0.1, seed=7)
 
 
 def q_split_random(spark, folder):
-    return sp.random_split(view(spark, folder, "positives"))
+    return sp.random_split(stored(spark, folder, "positives"))
 
 
 def q_split_stats(spark, folder):
-    return sp.split_stats(sp.holdout(view(spark, folder, "positives"), "peptide"))
+    return sp.split_stats(sp.holdout(stored(spark, folder, "positives"), "peptide"))
 
 
 def q_assign_by_key(spark, folder):

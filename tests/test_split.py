@@ -88,3 +88,13 @@ def test_stats_and_assign(pairs, spark):
     keys = spark.createDataFrame([("PHOT", "test")], "peptide string, split string")
     got = sp.assign_by_key(pairs, keys, "peptide")
     assert got.count() == 134 and got.select("split").distinct().count() == 1
+
+
+def test_split_queries_make_the_view_once(spark, folder, monkeypatch):
+    from catalog import split, views
+
+    made, plain = [], views.staged
+    monkeypatch.setattr(views, "staged", lambda df, label: made.append(label) or plain(df, label))
+    for query in (split.q_split_by_peptide, split.q_split_by_receptor, split.q_split_random, split.q_split_stats):
+        plan = query(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert made.pop() == "positives" and not made and "Join" not in plan
