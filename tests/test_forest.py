@@ -1,12 +1,13 @@
 """Forest scores by batches against Spark's own."""
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 
 from bindery.operators import learn as ln
-from bindery.operators.forest import group_scores
+from bindery.operators.forest import Tree, group_scores
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +50,10 @@ def test_folds_are_fitted_side_by_side(rows):
         return ln.fit_bagged_forest(train, ["id"], 2, 2, 2)
 
     assert ln.cross_scored(rows.drop("weight"), fit, 3, ["id"]).where("score is not null").count() == 301
+
+
+def test_a_tree_reads_answers_test_by_test():
+    # node 0 asks test 1, node 2 asks test 0; nodes 1, 3 and 4 are leaves
+    tree = Tree(np.repeat([1, 0, 0, 0, 0], 2), 2 * np.array([1, 2, 1, 1, 3, 4, 3, 3, 4, 4]), np.zeros((5, 2)), 2)
+    passed = np.array([[0, 1, 0, 1, 1], [0, 0, 1, 1, 1]], np.int8)
+    assert tree.leaves(passed).tolist() == [1, 1, 3, 4, 4]
