@@ -53,6 +53,25 @@ def one_hot_sequence(seq: str | Column, max_len: int) -> Column:
     return F.flatten(F.transform(residue_ids(seq, max_len), lambda x: F.get(blocks, x)))
 
 
+def ones_text(vec: str | Column) -> Column:
+    """The places of the ones of a vector as comma text, null for null.
+
+    NumPy looks through whole batches, as a lambda takes 0.1 microseconds for each number.
+    """
+
+    @F.arrow_udf("string")
+    def places(vecs: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(vecs), 0).to_numpy(zero_copy_only=False))
+        hits = np.flatnonzero(vecs.flatten().to_numpy(zero_copy_only=False) == 1)
+        row = np.searchsorted(ends, hits, side="right")
+        inside = hits - np.concatenate([[0], ends])[row]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(vecs)))])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(inside, pa.int64()).cast(pa.string()))
+        return pc.if_else(vecs.is_null(), pa.scalar(None, pa.string()), pc.binary_join(lists, ","))
+
+    return places(_col(vec))
+
+
 def decode_one_hot(vec: str | Column, max_len: int) -> Column:
     """The sequence a one-hot vector stands for, without padding; null for null.
 

@@ -58,9 +58,8 @@ def q_tokenize_pad(spark, folder):
 
 def q_onehot_sequences(spark, folder):
     words = ft.one_hot_pairs(pairs(spark, folder).select("cdr3", "peptide").distinct())
-    ones = lambda v: vx.text_of(F.filter(F.transform(v, lambda x, i: F.when(x == 1, i).otherwise(-1)), lambda i: i >= 0))
     return words.select(
-        "cdr3", "peptide", ones(F.col("receptor_vec")).alias("receptor_ones"), ones(F.col("peptide_vec")).alias("peptide_ones"),
+        "cdr3", "peptide", vx.ones_text("receptor_vec").alias("receptor_ones"), vx.ones_text("peptide_vec").alias("peptide_ones"),
         F.size(vx.appended("receptor_vec", "peptide_vec")).alias("dim"),
     )
 

@@ -168,3 +168,21 @@ def test_a_fitted_vocabulary_is_written_once(spark):
     cats = Categories.fit(rows)
     assert cats.table.inputFiles() and cats.sizes == {"v_gene": 2, "j_gene": 2}
     assert sorted(map(tuple, cats.table.collect())) == [("j_gene", "x", 0), ("j_gene", "y", 1), ("v_gene", "a", 0), ("v_gene", "b", 1)]
+
+
+def test_ones_and_letters_are_read_by_batches(spark):
+    """Nulls, empty vectors, nulls and equal numbers inside; none of it by a lambda over the numbers."""
+    one = vx.one_hot_sequence("s", 4)
+    rows = spark.createDataFrame([("ACD",), (None,), ("",), ("ZZZZZZ",), ("A",)], "s string").select("s", one.alias("v"))
+    made = rows.select("s", vx.ones_text("v").alias("ones"), vx.decode_one_hot("v", 4).alias("cut"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "slice(" not in plan
+    got = {r["s"]: (r["ones"], r["cut"]) for r in made.collect()}
+    assert got["ACD"] == ("1,24,47,66", "ACD") and got[None] == (None, None) and got[""] == ("0,22,44,66", "")
+    assert got["ZZZZZZ"][1] == "XXXX" and got["A"][1] == "A"
+    odd = spark.createDataFrame([(1, [1.0, 0.5, 1.0, None, 2.0]), (2, []), (3, None)], "k int, v array<float>")
+    assert [r[0] for r in odd.orderBy("k").select(vx.ones_text("v")).collect()] == ["0,2", "", None]
+    with pytest.raises(Exception, match=r"vector length is not 4\*22: 5"):
+        odd.select(vx.decode_one_hot("v", 4)).collect()
+    even = spark.createDataFrame([([0.0, 0.5, None] + [0.5] * 19 + [None] * 22,)], "v array<float>")
+    assert even.select(vx.decode_one_hot("v", 2)).first()[0] == "A"
