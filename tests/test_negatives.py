@@ -258,3 +258,17 @@ def test_swaps_send_the_whole_rows_once(spark):
     assert len({r[3] for r in got if r[:3] == ("c1", "p1", "x")}) == 1
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("note#") and "Window" not in "".join(x for x in plan.splitlines() if "note#" in x)
+
+
+def test_a_hot_peptide_is_numbered_as_with_all_columns(spark):
+    """With ``keep`` the other columns stay at home, but pairs that a null makes alike are told apart by all."""
+    rows = [(f"C{i}", "TRB", "V1", "J1", "PEP" if i % 5 else None, "A", None if i % 3 else "B", "MHCI", f"S{i % 2}") for i in range(200)]
+    rows += [("D", "TRB", "V1", "J1", "PEP", a, b, "MHCI", "S") for a, b in ((None, "X"), ("X", None))]
+    df = spark.createDataFrame(rows, COLUMNS)
+    whole = neg.number_pairs(df, [], 42, 10).drop("tcr_chain", "mhc_class", "source", "mhc_b")
+    slim = neg.number_pairs(df, [], 42, 10, ["cdr3", "v_gene", "j_gene", "mhc_a"])
+    assert "source" not in slim.columns
+    columns = sorted(slim.columns)
+    assert sorted(whole.columns) == columns
+    told = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert told(whole) == told(slim)

@@ -132,3 +132,32 @@ def test_cells_of_each_group_change_no_position(spark):
     got = sorted((r["g"], r["want"], r["pos"]) for r in df.collect())
     free = {g: [p for p in range(size[g]) if p not in struck[g]] for g in size}
     assert got == [(g, w, p) for g in sorted(free) for w, p in enumerate(free[g])]
+
+
+def test_rows_of_a_limited_group_stay_where_they_are(skewed, spark):
+    """Only the rows of the one cell that a limit cuts are dealt out."""
+    rows, df = skewed
+    limits = spark.createDataFrame([("hot", 17), ("g0", 10**6), ("g1", 0)], "grp string, most int")
+    taken = od.take_hashed_by(df, limits, ["grp"], ["id"], 5, "most")
+    want = {}
+    for grp, most in (("hot", 17), ("g0", 10**6), ("g1", 0)):
+        ids = sorted((i for g, i in rows if g == grp), key=lambda i: (hashed(5, i), i))
+        want |= {i: grp for i in ids[:most]}
+    assert {r["id"]: r["grp"] for r in taken.collect()} == want
+    plan = taken.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # for the window over the rows of that cell
+
+
+def test_draws_are_dealt_once_and_kept_once(spark, monkeypatch):
+    """Draws are not written to be counted; of those that want one entry the first stays."""
+    written = []
+    plain = od.staged
+    monkeypatch.setattr(od, "staged", lambda df, label="table", by=(): written.append(df.columns) or plain(df, label, by))
+    draws = [("a", i, w, 9, 3) for i, w in enumerate([0, 5, 5, 0, 2, 5])]
+    listed = [("a", p, 9, 3) for p in (0, 1, 5)]
+    df = od.nth_unlisted(
+        spark.createDataFrame(draws, "g string, i int, want bigint, n bigint, k int"),
+        spark.createDataFrame(listed, "g string, pos bigint, n bigint, k int"), ["g"], "n", "want", "pos", cells="k", once="i",
+    )
+    assert sorted((r["want"], r["i"], r["pos"]) for r in df.collect()) == [(0, 0, 2), (2, 4, 4), (5, 1, 8)]
+    assert written and not any("i" in columns for columns in written)
